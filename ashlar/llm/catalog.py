@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import line_rules, packing, simhash
+from . import chat, line_rules, packing, sharding, simhash
 
-MODULES = [packing, simhash, line_rules]
+MODULES = [sharding, chat, packing, simhash, line_rules]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
