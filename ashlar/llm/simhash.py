@@ -50,12 +50,12 @@ def block_masks(distinct: int, max_distance: int = 4) -> list[int]:
     """Masks of which two fingerprints within max_distance share at least one.
 
     64 bits are cut into m blocks; close pairs agree on m - max_distance of them, so each choice
-    of that many blocks is a key. m follows the number of fingerprints so that a key has more values
-    than there are fingerprints and random collisions stay rare; every m finds every close pair.
+    of that many blocks is a key. m follows the number of fingerprints so that a key has 64 times more
+    values than there are fingerprints and random collisions stay rare; every m finds every close pair.
     """
     for m in range(max_distance + 2, max_distance + 6):
         bits = 64 * (m - max_distance) // m
-        if 1 << bits > 4 * distinct:
+        if 1 << bits > 64 * distinct:
             break
     ends = [64 * i // m for i in range(m + 1)]
     blocks = [((1 << ends[i + 1]) - 1) ^ ((1 << ends[i]) - 1) for i in range(m)]
