@@ -50,9 +50,18 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], l
     component already, so the result equals that of testing every pair of every bucket, without
     writing the square of a dense bucket. Nodes without a verified pair are absent.
     """
-    tag = F.xxhash64("bucket", "node")
+    return link_held(shared_buckets(members, label), verify, label, rounds)
+
+
+def shared_buckets(members: DataFrame, label: str) -> DataFrame:
+    """The members of buckets with more than one node, as a written table."""
     sized = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    held = stage(members.join(sized, "bucket"), f"{label}-members")
+    return stage(members.join(sized, "bucket"), f"{label}-members")
+
+
+def link_held(held: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, rounds: int = 2) -> DataFrame:
+    """link_buckets() for the table that shared_buckets() wrote."""
+    tag = F.xxhash64("bucket", "node")
     state = held
     found: DataFrame | None = None
     for turn in range(rounds):
