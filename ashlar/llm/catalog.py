@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, line_rules, packing, paragraphs, sharding, simhash
+from . import chat, decontamination, licenses, line_rules, packing, paragraphs, sharding, simhash
 
-MODULES = [sharding, chat, packing, decontamination, simhash, line_rules, paragraphs]
+MODULES = [sharding, chat, licenses, packing, decontamination, simhash, line_rules, paragraphs]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
