@@ -36,14 +36,14 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) for each row of docs; other columns are not read."""
+    """(doc_id, text_hash, fp) for each row of docs; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, fp long")
 
 
 def block_masks(distinct: int, max_distance: int = 4) -> list[int]:
@@ -66,16 +66,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = 4, width: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs.
+def linked(docs: DataFrame, max_distance: int = 4, width: int = 4) -> DataFrame:
+    """(doc_id, text_hash, fp, component, component_id) for every row of docs; see near_duplicates().
 
-    Documents whose fingerprints differ in at most max_distance bits are linked; component_id is the
-    smallest doc_id that links reach. Rows without doc_id take part but never name a component; a
-    component of such rows alone has a null id. Repeated rows come back as often as they came in, an
-    empty table gives an empty result, and further columns of docs are ignored.
-
-    Equal fingerprints collapse first, so groups of copies cost one row. Dense groups of different
-    fingerprints are contracted around hubs before any pair is written (link_buckets).
+    component names the group by one of its fingerprints. Equal fingerprints collapse first, so groups
+    of copies cost one row. Dense groups of different fingerprints are contracted around hubs before any pair
+    is written (link_buckets).
     """
     fps = stage(fingerprints(docs, width), "simhash")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
@@ -85,8 +81,35 @@ def near_duplicates(docs: DataFrame, max_distance: int = 4, width: int = 4) -> D
     near = link_buckets(members, lambda pairs: pairs.where(hamming(F.col("a"), F.col("b")) <= max_distance), "simhash")
     labelled = nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = labelled.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = labelled.select("fp", "component").join(smallest, "component")
+    return fps.join(ids, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, max_distance: int = 4, width: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs.
+
+    Documents whose fingerprints differ in at most max_distance bits are linked; component_id is the
+    smallest doc_id that links reach. Rows without doc_id take part but never name a component; a
+    component of such rows alone has a null id. Repeated rows come back as often as they came in, an
+    empty table gives an empty result, and further columns of docs are ignored.
+    """
+    return linked(docs, max_distance, width).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_each_group(docs: DataFrame, max_distance: int = 4, width: int = 4) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the smallest doc_id.
+
+    Rows without doc_id come after those that have one; rows of one doc_id go by a hash of their text.
+    Of rows equal in both one stays.
+    """
+    rows = linked(docs, max_distance, width).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("n"))).alias("k")).select("k.*")
+    kept = stage(best.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_doc"), F.col("text_hash").alias("_hash"), "n"), "simhash-kept")
+    own = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_hash": F.xxhash64("text")})
+    out = own.join(kept.select("_doc", "_hash"), ["_doc", "_hash"], "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["_doc", "_hash"])
+    return out.select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
