@@ -351,9 +351,9 @@ _TRIS_SQL = """WITH e AS (SELECT vec_id, concat('M', vec_id) AS guid, list_trans
 """
 
 
-@query(_TRIS_SQL + "SELECT guid, count(*) AS triangle_count, round(sum((ax*(by_*cz - bz*cy) + ay*(bz*cx - bx*cz) + az*(bx*cy - by_*cx)) / 6), 4) AS volume, round(sum(mag / 2), 4) AS area FROM tri GROUP BY guid", model=False)
+@query(_TRIS_SQL + "SELECT guid, count(*) AS triangle_count, round(sum((ax*(by_*cz - bz*cy) + ay*(bz*cx - bx*cz) + az*(bx*cy - by_*cx)) / 6), 4) + 0.0 AS volume, round(sum(mag / 2), 4) AS area FROM tri GROUP BY guid", model=False)
 def q_mesh_qto(m: StarModel) -> DataFrame:
-    return geometry.take_off(geometry.triangles(_meshes(m))).select("guid", "triangle_count", F.round("volume", 4).alias("volume"), F.round("area", 4).alias("area"))
+    return geometry.take_off(geometry.triangles(_meshes(m))).select("guid", "triangle_count", (F.round("volume", 4) + 0.0).alias("volume"), F.round("area", 4).alias("area"))
 
 
 @query(_TRIS_SQL + """SELECT guid, round(sum(CASE WHEN nz/mag > 0.94 THEN mag/2 ELSE 0 END), 4) AS area_top, round(sum(CASE WHEN nz/mag < -0.94 THEN mag/2 ELSE 0 END), 4) AS area_bottom,
@@ -611,12 +611,12 @@ def q_subset_rels(m: StarModel) -> DataFrame:
     return prune_anchors(rels, kept).groupBy("rel_id").agg(F.array_join(F.sort_array(F.collect_list("anchor")), "|").alias("kept"), F.count("*").alias("n"))
 
 
-@query(_REFS_SQL + """, kept AS (SELECT src, dst FROM refs WHERE src NOT IN (SELECT guid FROM lines WHERE l_returnflag = 'A'))
-SELECT DISTINCT dst AS node FROM refs WHERE src IN (SELECT guid FROM lines WHERE l_returnflag = 'A') AND dst NOT IN (SELECT dst FROM kept)""")
+@query(_REFS_SQL + """, gone AS (SELECT guid AS src FROM products WHERE guid LIKE 'O%' AND object_type <> '5-LOW'), kept AS (SELECT dst FROM refs WHERE src NOT IN (SELECT src FROM gone))
+SELECT DISTINCT dst AS node FROM refs WHERE src IN (SELECT src FROM gone) AND dst NOT IN (SELECT dst FROM kept)""")
 def q_orphan_gc(m: StarModel) -> DataFrame:
     from ..operators.subset import orphans
 
-    gone = m.lines().where("l_returnflag = 'A'").select(F.col("guid").alias("node"))
+    gone = m.products().where("guid LIKE 'O%' AND object_type <> '5-LOW'").select(F.col("guid").alias("node"))
     return orphans(_refs(m), gone)
 
 
