@@ -59,14 +59,24 @@ def shared_buckets(members: DataFrame, label: str) -> DataFrame:
     return stage(members.join(sized, "bucket"), f"{label}-members")
 
 
-def link_held(held: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, rounds: int = 2) -> DataFrame:
-    """link_buckets() for the table that shared_buckets() wrote."""
+def link_held(held: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, rounds: int = 2, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """link_buckets() for the table that shared_buckets() wrote.
+
+    last(open) may stand in for the last round: it gets open(bucket, node, component), the buckets
+    that still span several components, and returns verified pairs(a, b), at least all those between
+    components. The first hub is then the member with the most company in all its buckets.
+    """
     tag = F.xxhash64("bucket", "node")
     state = held
     found: DataFrame | None = None
     for turn in range(rounds):
-        pick = F.min(F.struct(F.xxhash64(tag, F.lit(turn)).alias("h"), F.col("node")))["node"]
-        hubs = state.groupBy("bucket").agg(pick.alias("hub"))
+        if last is not None and not turn:
+            sizes = held.groupBy("bucket").agg(F.count("*").alias("n"))
+            company = held.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("company"))
+            hubs = held.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("hub"))
+        else:
+            pick = F.min(F.struct(F.xxhash64(tag, F.lit(turn)).alias("h"), F.col("node")))["node"]
+            hubs = state.groupBy("bucket").agg(pick.alias("hub"))
         joined = state.join(hubs, "bucket").where("node <> hub")
         if turn:  # only members that the hub's component has not reached yet
             of_hub = found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
@@ -74,6 +84,8 @@ def link_held(held: DataFrame, verify: Callable[[DataFrame], DataFrame], label:
         pairs = joined.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         found = _merge(found, verify(pairs), label)
         state = _open_buckets(held, found, state, label)
+    if last is not None:
+        return _merge(found, last(state), label)
     left = state.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
     right = state.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
     pairs = left.join(right, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

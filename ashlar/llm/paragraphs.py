@@ -111,6 +111,31 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def similar_across(state: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Pairs(a, b) of nodes of state(bucket, node, component) in different components that are similar.
+
+    Families of copies that are each a few edits off share all their bands, so their pairs are not
+    written down. A node's shingles are put in order, the rarest first; a similar pair has a common shingle
+    among the first n - ceil(similarity * n) + 1 of both, at places that leave enough after them. Nodes meet on those
+    shingles, and the join itself checks the places and then the exact similarity, so it puts out
+    similar pairs only. This finds every such pair.
+    """
+    tokens = state.select("node", "component").distinct().join(shingles, "node").select("node", "component", "shingles", F.explode("shingles").alias("token"))
+    rarity = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of one node alone come first in its order and meet nothing; only their number matters.
+    common = tokens.select("node", "token").join(rarity, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    rows = state.select("node", "component").distinct().join(shingles, "node").join(common, "node").withColumn("n", F.size("shingles"))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("common"))
+    rows = rows.where(first > 0).select("node", "component", "shingles", "n", (F.col("n") - F.size("common")).alias("alone"), F.posexplode(F.slice("common", F.lit(1), first.cast("int"))).alias("pos", "t"))
+    side = lambda x: rows.select(F.col("t.token").alias("token"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "shingles", "n")], (F.col("n") - F.col("alone") - F.col("pos")).alias(f"room_{x}"))
+    a, b = side("a"), side("b")
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
+    both = (F.col("component_a") < F.col("component_b")) & (F.least("room_a", "room_b") >= least)
+    similar = F.when(both, jaccard(F.col("shingles_a"), F.col("shingles_b")) >= similarity).otherwise(False)
+    pairs = a.join(b, (a.token == b.token) & similar)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def _key(doc_id: Column) -> Column:
     """doc_id with null as a value of its own, for joins."""
     return F.coalesce(doc_id.cast("string"), F.lit("null"))
@@ -132,7 +157,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least_wor
     found = stage(paragraph_table(docs, least_words), "passages")
     nodes = found.groupBy("node").agg(F.first("bands").alias("bands"), F.min(_key(F.col("doc_id"))).alias("holder"))
     nodes = stage(nodes, "passage-nodes")
-    held = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node").distinct(), "passages")
+    held = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), "passages")
     colliding = held.select("node").distinct()
     holders = stage(nodes.join(colliding, "node").select(F.col("holder").alias("_holder")).distinct(), "passage-holders")
     again = docs.select("doc_id", "text").join(holders, _key(F.col("doc_id")) == F.col("_holder"), "left_semi")
@@ -142,7 +167,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least_wor
         a, b = (shingles.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
 
-    near = link_held(held, verify, "passages")
+    near = link_held(held, verify, "passages", last=lambda state: similar_across(state, shingles, similarity))
     placed = found.select("doc_id", "text_hash", "paragraph", "n_words", "node").distinct().join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("paragraph"))
     spans = placed.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("doc_id").alias("component_id"))
