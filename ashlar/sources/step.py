@@ -207,9 +207,7 @@ def cache_key(content: bytes, version: str = "1") -> str:
 
 def write_step(records: DataFrame, head: str, path: str) -> None:
     """Records in file order as STEP text between a header and the end marks; one text file."""
-    body = records.orderBy("ord").select(F.col("raw").alias("value")).coalesce(1)
     spark = records.sparkSession
-    first = spark.createDataFrame([(0, head)], "part int, value string")
-    last = spark.createDataFrame([(2, "ENDSEC;\nEND-ISO-10303-21;\n")], "part int, value string")
-    whole = first.union(body.withColumn("part", F.lit(1)).select("part", F.regexp_replace("value", r"\s+$", "").alias("value"))).union(last)
-    whole.coalesce(1).select("value").write.text(path)
+    body = records.select(F.lit(1).alias("part"), "ord", F.regexp_replace("raw", r"\s+$", "").alias("value"))
+    ends = spark.createDataFrame([(0, 0, head), (2, 0, "ENDSEC;\nEND-ISO-10303-21;")], "part int, ord long, value string")
+    body.union(ends).repartition(1).sortWithinPartitions("part", "ord").select("value").write.text(path)

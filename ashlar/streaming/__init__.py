@@ -1 +1,44 @@
+"""Streams of models: files that arrive in a folder become appended table rows."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.index import Tables
+from ..sources.step import RECORDS, check_trailer, scan, unwrap
+
+
+def stream_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of STEP files as they appear in a folder of any store that Spark lists."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = unwrap(content)
+                check_trailer(raw)
+                rows = [(name, i, *record) for i, record in enumerate(scan(raw))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file_id", "ord", "step_id", "type", "args", "raw"])
+
+    shape = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(shape).load(folder)
+    return files.select("path", "content").mapInArrow(run, RECORDS)
+
+
+def index_stream(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None], available_now: bool = True) -> StreamingQuery:
+    """Calls sink(products with file_id, batch) for each micro-batch of arriving files."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        files = [r.file_id for r in batch.select("file_id").distinct().collect()]  # the files of one micro-batch
+        for name in files:
+            own = batch.where(batch.file_id == name)
+            from pyspark.sql import functions as F
+
+            sink(Tables(own).products().withColumn("file_id", F.lit(name)), number)
+
+    writer = stream_records(spark, folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
