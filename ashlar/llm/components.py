@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, free_shuffles, stage
 
 
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -84,6 +84,7 @@ def link_held(held: DataFrame, verify: Callable[[DataFrame], DataFrame], label:
         pairs = joined.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         found = _merge(found, verify(pairs), label)
         state = _open_buckets(held, found, state, label)
+        free_shuffles(held.sparkSession)
     if last is not None:
         return _merge(found, last(state), label)
     left = state.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))

@@ -10,12 +10,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import discard, free_shuffles, stage, table
 from .components import link_held, shared_buckets
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Paragraphs with fewer words are left alone: headings, slogans and set phrases repeat in sound texts.
 LEAST_WORDS = 20
+#: Ids of documents to read again are broadcast up to this many (some 64 bytes each), else joined by shuffle.
+BROADCAST_IDS = 1 << 20
 #: Bands of two values each: at similarity 0.8 a pair meets in one of 8 bands but for (1 - 0.64) ** 8 = 0.0003.
 BANDS, ROWS = 8, 2
 _SEED = 42
@@ -154,21 +156,28 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least_wor
     Equal paragraphs share a 64-bit node, so copies cost a row each and no pair. Only documents that
     hold a colliding paragraph are read again for the exact check.
     """
-    found = stage(paragraph_table(docs, least_words), "passages")
-    nodes = found.groupBy("node").agg(F.first("bands").alias("bands"), F.min(_key(F.col("doc_id"))).alias("holder"))
-    nodes = stage(nodes, "passage-nodes")
+    whole = stage(paragraph_table(docs, least_words), "passages")
+    nodes = stage(whole.groupBy("node").agg(F.first("bands").alias("bands"), F.min(_key(F.col("doc_id"))).alias("holder")), "passage-nodes")
+    found = stage(whole.drop("bands").distinct(), "passage-places")
+    discard(whole)
+    free_shuffles(docs.sparkSession)
     held = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), "passages")
-    colliding = held.select("node").distinct()
+    free_shuffles(docs.sparkSession)
+    colliding = stage(held.select("node").distinct(), "passage-colliding")
     holders = stage(nodes.join(colliding, "node").select(F.col("holder").alias("_holder")).distinct(), "passage-holders")
-    again = docs.select("doc_id", "text").join(holders, _key(F.col("doc_id")) == F.col("_holder"), "left_semi")
+    discard(nodes)
+    few = holders.count() <= BROADCAST_IDS
+    again = docs.select("doc_id", "text").join(F.broadcast(holders) if few else holders, _key(F.col("doc_id")) == F.col("_holder"), "left_semi")
     shingles = stage(shingle_table(again, least_words).join(colliding, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "passage-shingles")
+    free_shuffles(docs.sparkSession)
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (shingles.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
 
     near = link_held(held, verify, "passages", last=lambda state: similar_across(state, shingles, similarity))
-    placed = found.select("doc_id", "text_hash", "paragraph", "n_words", "node").distinct().join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    free_shuffles(docs.sparkSession)
+    placed = found.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("paragraph"))
     spans = placed.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("doc_id").alias("component_id"))
     spans = spans.where("first.text_hash <> last.text_hash OR NOT (first.doc_id <=> last.doc_id)")
