@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, free_shuffles, stage, table
-from .components import link_held, shared_buckets
+from .components import hamming, link_held, shared_buckets
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Paragraphs with fewer words are left alone: headings, slogans and set phrases repeat in sound texts.
 LEAST_WORDS = 20
+#: Buckets of up to so many paragraphs are compared member by member, larger ones by a rarest-first prefix join.
+WIDE = 256
+#: 64-bit words of the parity bitmap that rules out most pairs without reading their shingles.
+BITMAP = 8
 #: Ids of documents to read again are broadcast up to this many (some 64 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bands of two values each: at similarity 0.8 a pair meets in one of 8 bands but for (1 - 0.64) ** 8 = 0.0003.
@@ -67,6 +71,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def parity_bitmap(hashes: np.ndarray) -> np.ndarray:
+    """BITMAP words; each shingle flips one bit, so two bitmaps differ in no more bits than the sets in shingles."""
+    bits = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _place(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
@@ -96,16 +106,18 @@ def paragraph_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
 
 
 def shingle_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(node, shingles) of the paragraphs of docs."""
+    """(node, shingles, n, bitmap) of the paragraphs of docs; n counts the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {node: s for value in batch.column(1) for _, _, node, s in paragraphs(value.as_py(), least_words)}
             if found:
                 nodes = np.fromiter(found, np.uint64, len(found)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))], names=["node", "shingles"])
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in found.values()], [parity_bitmap(s) for s in found.values()])]
+                sizes = pa.array([len(s) for s in found.values()], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), lists[0], sizes, lists[1]], names=["node", "shingles", "n", "bitmap"])
 
-    return _place(docs).mapInArrow(run, "node long, shingles array<long>")
+    return _place(docs).mapInArrow(run, "node long, shingles array<long>, n int, bitmap array<long>")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -113,8 +125,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def similar_across(state: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Pairs(a, b) of nodes of state(bucket, node, component) in different components that are similar.
+def least_common(similarity: float) -> Column:
+    """Shingles that sets of n_a and n_b must share at least to be similar."""
+    return F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def near_in_buckets(members: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs(a, b) of nodes of members(bucket, node, component) that share a bucket but no component.
+
+    The join itself drops a pair whose bitmaps differ in more bits than similar sets may differ in
+    shingles, which loses no similar pair.
+    """
+    known = members.join(shingles.select("node", "n", "bitmap"), "node")
+    side = lambda x: known.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "bitmap")])
+    differ = sum((hamming(F.col("bitmap_a")[i], F.col("bitmap_b")[i]) for i in range(BITMAP)), F.lit(0))
+    a, b = side("a"), side("b")
+    near = (F.col("component_a") < F.col("component_b")) & (differ <= F.col("n_a") + F.col("n_b") - 2 * least_common(similarity))
+    return a.join(b, (a.bucket == b.bucket) & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def similar_across(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs(a, b) of rows of nodes(node, component, shingles, n) in different components that are similar.
 
     Families of copies that are each a few edits off share all their bands, so their pairs are not
     written down. A node's shingles are put in order, the rarest first; a similar pair has a common shingle
@@ -122,17 +153,15 @@ def similar_across(state: DataFrame, shingles: DataFrame, similarity: float) ->
     shingles, and the join itself checks the places and then the exact similarity, so it puts out
     similar pairs only. This finds every such pair.
     """
-    tokens = state.select("node", "component").distinct().join(shingles, "node").select("node", "component", "shingles", F.explode("shingles").alias("token"))
+    tokens = nodes.select("node", F.explode("shingles").alias("token"))
     rarity = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # Shingles of one node alone come first in its order and meet nothing; only their number matters.
-    common = tokens.select("node", "token").join(rarity, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-    rows = state.select("node", "component").distinct().join(shingles, "node").join(common, "node").withColumn("n", F.size("shingles"))
+    common = tokens.join(rarity, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("common"))
-    rows = rows.where(first > 0).select("node", "component", "shingles", "n", (F.col("n") - F.size("common")).alias("alone"), F.posexplode(F.slice("common", F.lit(1), first.cast("int"))).alias("pos", "t"))
+    rows = nodes.join(common, "node").where(first > 0).select("node", "component", "shingles", "n", (F.col("n") - F.size("common")).alias("alone"), F.posexplode(F.slice("common", F.lit(1), first.cast("int"))).alias("pos", "t"))
     side = lambda x: rows.select(F.col("t.token").alias("token"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "shingles", "n")], (F.col("n") - F.col("alone") - F.col("pos")).alias(f"room_{x}"))
     a, b = side("a"), side("b")
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
-    both = (F.col("component_a") < F.col("component_b")) & (F.least("room_a", "room_b") >= least)
+    both = (F.col("component_a") < F.col("component_b")) & (F.least("room_a", "room_b") >= least_common(similarity))
     similar = F.when(both, jaccard(F.col("shingles_a"), F.col("shingles_b")) >= similarity).otherwise(False)
     pairs = a.join(b, (a.token == b.token) & similar)
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
@@ -168,14 +197,25 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least_wor
     discard(nodes)
     few = holders.count() <= BROADCAST_IDS
     again = docs.select("doc_id", "text").join(F.broadcast(holders) if few else holders, _key(F.col("doc_id")) == F.col("_holder"), "left_semi")
-    shingles = stage(shingle_table(again, least_words).join(colliding, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "passage-shingles")
+    shingles = stage(shingle_table(again, least_words).join(colliding, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("shingles", "n", "bitmap")]), "passage-shingles")
     free_shuffles(docs.sparkSession)
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (shingles.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
 
-    near = link_held(held, verify, "passages", last=lambda state: similar_across(state, shingles, similarity))
+    def finish(state: DataFrame) -> DataFrame:
+        sizes = state.groupBy("bucket").agg(F.count("*").alias("size"))
+        small = state.join(sizes.where(F.col("size") <= WIDE).select("bucket"), "bucket")
+        pairs = stage(near_in_buckets(small, shingles, similarity), "passage-pairs")
+        free_shuffles(docs.sparkSession)
+        held_pairs = stage(verify(pairs), "passage-similar")
+        wide = state.join(sizes.where(F.col("size") > WIDE).select("bucket"), "bucket").select("node", "component").distinct()
+        wide = stage(wide.join(shingles.select("node", "shingles", "n"), "node"), "passage-wide")
+        free_shuffles(docs.sparkSession)
+        return held_pairs.union(similar_across(wide, similarity)).distinct()
+
+    near = link_held(held, verify, "passages", last=finish)
     free_shuffles(docs.sparkSession)
     placed = found.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("paragraph"))
