@@ -22,8 +22,8 @@ WIDE = 256
 BITMAP = 8
 #: Ids of documents to read again are broadcast up to this many (some 64 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1 << 20
-#: Bands of two values each: at similarity 0.8 a pair meets in one of 8 bands but for (1 - 0.64) ** 8 = 0.0003.
-BANDS, ROWS = 8, 2
+#: Bands of two values each: at similarity 0.8 a pair meets in one of 12 bands but for (1 - 0.64) ** 12 = 0.000005.
+BANDS, ROWS = 12, 2
 _SEED = 42
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _DRAWN = np.random.default_rng(20240117).integers(0, 1 << 63, (2, BANDS * ROWS), np.int64).view(np.uint64)

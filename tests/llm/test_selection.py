@@ -235,6 +235,23 @@ def test_repeated_passages_match_all_pairs(spark, texts):
     assert all(r.text.strip() for r in cleaned.collect()) and paragraphs.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_wide_buckets_give_the_same_passages(spark, texts, monkeypatch):
+    docs = corpus(spark, texts)
+    rows = lambda: {(r.doc_id, r.paragraph, r.component_id, r.kept) for r in paragraphs.repeated_passages(docs).collect()}
+    narrow = rows()
+    monkeypatch.setattr(paragraphs, "WIDE", 1)
+    assert rows() == narrow
+
+
+def test_bitmaps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 20, 200, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64)]))
+        apart = np.unpackbits((paragraphs.parity_bitmap(a) ^ paragraphs.parity_bitmap(b)).view(np.uint8)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def brute_contained(text, item):
     def shingles(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
