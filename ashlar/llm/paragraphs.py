@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import discard, free_shuffles, stage, table
 from .components import hamming, link_held, shared_buckets
+from .runs import cut_words, repeated_runs
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Paragraphs with fewer words are left alone: headings, slogans and set phrases repeat in sound texts.
@@ -30,19 +33,29 @@ _DRAWN = np.random.default_rng(20240117).integers(0, 1 << 63, (2, BANDS * ROWS),
 _FACTOR, _SHIFT = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 
 
-def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, np.ndarray]]:
-    """(index, words, node, shingle hashes) of each line of a text with enough words.
+def units(text: str | None, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(first line, lines, first word, words) of the paragraphs of a text that have enough words.
 
-    Words are split at ASCII white space after A-Z are lower-cased. node is the XXH64 of the words
-    joined by spaces; shingle hashes are 64-bit, of SHINGLE words, distinct and sorted.
+    Each line with enough words is one. Words are those between ASCII white space after A-Z are lower-cased.
     """
-    out = []
-    digest = xxhash.xxh64_intdigest
+    at = 0
     for i, line in enumerate(text.encode().lower().split(b"\n") if text else ()):
         words = line.split()
+        if words and len(words) >= least_words:
+            yield i, 1, at, words
+        at += len(words)
+
+
+def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, int, int, np.ndarray]]:
+    """(first line, lines, first word, words, node, shingle hashes) of each of the units() of a text.
+
+    node is the XXH64 of the words joined by spaces; shingle hashes are 64-bit, of SHINGLE words,
+    distinct and sorted.
+    """
+    out = []
+    digest = xxhash.xxh64_intdigest
+    for i, lines, at, words in units(text, least_words):
         n = len(words)
-        if n < least_words:
-            continue
         hashes = np.fromiter(map(digest, words), np.uint64, n)
         rolled = hashes[: max(1, n - SHINGLE + 1)].copy()
         for k in range(1, min(SHINGLE, n)):
@@ -50,15 +63,15 @@ def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[i
             rolled += hashes[k : k + len(rolled)]
         rolled ^= rolled >> np.uint64(29)
         rolled *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append((i, n, digest(b" ".join(words), _SEED), np.unique(rolled)))
+        out.append((i, lines, at, n, digest(b" ".join(words), _SEED), np.unique(rolled)))
     return out
 
 
-def band_keys(found: list[tuple[int, int, int, np.ndarray]]) -> np.ndarray:
+def band_keys(found: list[tuple[int, int, int, int, int, np.ndarray]]) -> np.ndarray:
     """BANDS keys for each paragraph, from BANDS * ROWS minima."""
-    sizes = [len(x[3]) for x in found]
+    sizes = [len(x[5]) for x in found]
     starts = np.cumsum([0, *sizes[:-1]])
-    low = np.minimum.reduceat(np.concatenate([x[3] for x in found])[:, None] * _FACTOR + _SHIFT, starts, axis=0)
+    low = np.minimum.reduceat(np.concatenate([x[5] for x in found])[:, None] * _FACTOR + _SHIFT, starts, axis=0)
     low = low.reshape(len(found), BANDS, ROWS)
     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(found), BANDS)).copy()
     for k in range(ROWS):
@@ -82,7 +95,7 @@ def _place(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_hash, paragraph, n_words, node, bands) of every long enough line of every document."""
+    """(doc_id, text_hash, paragraph, n_lines, first_word, n_words, node, bands) of every long enough paragraph of every document."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,16 +106,16 @@ def paragraph_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
                 found = paragraphs(text, least_words)
                 if found:
                     own = _signed(xxhash.xxh64_intdigest(text, _SEED))
-                    rows += [(r, own, i, n, _signed(node)) for i, n, node, _ in found]
+                    rows += [(r, own, i, lines, at, n, _signed(node)) for i, lines, at, n, node, _ in found]
                     keys.append(band_keys(found))
             if not rows:
                 continue
-            r, own, i, n, node = np.array(rows, np.int64).T
+            r, *columns = np.array(rows, np.int64).T
             flat = np.concatenate(keys).ravel()
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), *map(pa.array, (own, i, n, node)), bands], names=["doc_id", "text_hash", "paragraph", "n_words", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), *map(pa.array, columns), bands], names=["doc_id", "text_hash", "paragraph", "n_lines", "first_word", "n_words", "node", "bands"])
 
-    return _place(docs).mapInArrow(run, f"doc_id {kind}, text_hash long, paragraph long, n_words long, node long, bands array<long>")
+    return _place(docs).mapInArrow(run, f"doc_id {kind}, text_hash long, paragraph long, n_lines long, first_word long, n_words long, node long, bands array<long>")
 
 
 def shingle_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -110,7 +123,7 @@ def shingle_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {node: s for value in batch.column(1) for _, _, node, s in paragraphs(value.as_py(), least_words)}
+            found = {node: s for value in batch.column(1) for *_, node, s in paragraphs(value.as_py(), least_words)}
             if found:
                 nodes = np.fromiter(found, np.uint64, len(found)).view(np.int64)
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in found.values()], [parity_bitmap(s) for s in found.values()])]
@@ -173,9 +186,9 @@ def _key(doc_id: Column) -> Column:
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_hash, paragraph, n_words, component_id, kept) of every paragraph that repeats across documents.
+    """(doc_id, text_hash, paragraph, n_lines, first_word, n_words, component_id, kept) of every paragraph that repeats across documents.
 
-    Paragraphs are lines of at least least_words words. Two are linked if the Jaccard similarity of
+    Paragraphs are the units() of at least least_words words, numbered by their first line. Two are linked if the Jaccard similarity of
     their sets of five-word shingles is at least `similarity`, checked exactly on pairs that meet in a band;
     links are closed to components. Components within one document are left out. component_id is
     the smallest doc_id in the component and kept marks its first paragraph, by doc_id, text and place;
@@ -222,18 +235,27 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least_wor
     spans = placed.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("doc_id").alias("component_id"))
     spans = spans.where("first.text_hash <> last.text_hash OR NOT (first.doc_id <=> last.doc_id)")
     kept = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("paragraph") == F.col("first.paragraph"))
-    return placed.join(spans, "component").select("doc_id", "text_hash", "paragraph", "n_words", "component_id", kept.alias("kept"))
+    return placed.join(spans, "component").select("doc_id", "text_hash", "paragraph", "n_lines", "first_word", "n_words", "component_id", kept.alias("kept"))
+
+
+@F.pandas_udf(StringType())
+def _cut(text: pd.Series, lines: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
+    rest = lambda x: [] if x is None else list(x)
+    return pd.Series([None if t is None else cut_words(t, rest(a), rest(b), rest(c)) for t, a, b, c in zip(text, lines, starts, sizes, strict=True)], dtype=object)
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with all but the first copy of each repeated passage taken out of the texts.
+    """docs with all but the first copy of each repeated paragraph and verbatim run taken out of the texts.
 
     Documents without any word left are dropped, and so are those that had none. n_chars, where it is
     a column, is counted anew.
     """
-    gone = repeated_passages(docs, least_words=least_words).where("NOT kept").groupBy(_key(F.col("doc_id")).alias("_holder"), F.col("text_hash").alias("_hash")).agg(F.collect_set("paragraph").alias("_gone"))
+    lines = F.sequence(F.col("paragraph"), F.col("paragraph") + F.col("n_lines") - 1)
+    near = repeated_passages(docs, least_words=least_words).where("NOT kept").select("doc_id", "text_hash", F.explode(lines).alias("line"), F.lit(None).cast("struct<s:bigint,n:bigint>").alias("run"))
+    same = repeated_runs(docs).where("NOT kept").select("doc_id", "text_hash", F.lit(None).cast("long").alias("line"), F.struct(F.col("first_word").alias("s"), F.col("n_words").alias("n")).alias("run"))
+    gone = near.union(same).groupBy(_key(F.col("doc_id")).alias("_holder"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line").alias("_gone"), F.collect_set("run").alias("_runs"))
     joined = docs.withColumn("_own", F.xxhash64("text")).join(gone, (_key(F.col("doc_id")) == F.col("_holder")) & (F.col("_own") == F.col("_hash")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
+    left = _cut(F.when(F.col("_gone").isNotNull(), F.col("text")), "_gone", F.col("_runs.s"), F.col("_runs.n"))
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
@@ -241,8 +263,14 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph of documents that repeats across documents, with its component."""
-    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "paragraph", "n_words", "component_id", "kept")
+    """Every paragraph and every verbatim run of over 50 words that repeats across documents.
+
+    For a run, paragraph is the line it begins in, and component_id the document with its first copy.
+    """
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "paragraph", "n_words", "component_id", "kept", "first_word", "verbatim"]
+    near = repeated_passages(docs).withColumn("verbatim", F.lit(False)).select(*columns)
+    return near.union(repeated_runs(docs).withColumn("verbatim", F.lit(True)).select(*columns))
 
 
 QUERIES = {"op10_paragraph_dedup": op10_paragraph_dedup}
