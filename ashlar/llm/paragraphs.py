@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 
 from .common import discard, free_shuffles, stage, table
 from .components import hamming, link_held, shared_buckets
-from .runs import cut_words, repeated_runs
+from .runs import cut_words, repeated_runs, split_words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Paragraphs with fewer words are left alone: headings, slogans and set phrases repeat in sound texts.
@@ -36,13 +36,22 @@ _FACTOR, _SHIFT = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 def units(text: str | None, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, list[bytes]]]:
     """(first line, lines, first word, words) of the paragraphs of a text that have enough words.
 
-    Each line with enough words is one. Words are those between ASCII white space after A-Z are lower-cased.
+    A line with enough words is one, and so are neighbouring shorter lines up to a blank or long line,
+    as in hard-wrapped text. Words are those of split_words() after A-Z are lower-cased.
     """
-    at = 0
-    for i, line in enumerate(text.encode().lower().split(b"\n") if text else ()):
-        words = line.split()
-        if words and len(words) >= least_words:
-            yield i, 1, at, words
+    first, at, short = 0, 0, []
+    for i, line in enumerate([*text.encode().lower().split(b"\n"), b""] if text else ()):
+        words = split_words(line)
+        if words and len(words) < least_words:
+            if not short:
+                first = i
+            short += words
+        else:
+            if len(short) >= least_words:
+                yield first, i - first, at - len(short), short
+            short = []
+            if words:
+                yield i, 1, at, words
         at += len(words)
 
 

@@ -59,3 +59,13 @@ def test_runs_match_every_window(spark, texts):
         w = runs.split_words(t.encode())
         assert runs.split_words(left[d].encode()) == [x for k, x in enumerate(w) if (d, k) not in gone]
     assert left[0] == texts[0] and runs.repeated_runs(docs.limit(0)).count() == 0
+
+
+def test_hard_wrapped_near_copies_are_one_paragraph(spark):
+    rng = random.Random(3)
+    p = words(rng, 100)
+    near = [*p[:30], "changed", *p[31:60], "other", *p[61:]]
+    docs = spark.createDataFrame([(1, "Head\n\n" + wrapped(p, 10) + "\n\nend"), (2, wrapped(near, 8))], "doc_id long, text string")
+    got = {(r.doc_id, r.paragraph, r.n_lines, r.n_words, r.first_word, r.kept) for r in paragraphs.repeated_passages(docs).collect()}
+    assert got == {(1, 2, 10, 100, 1, True), (2, 0, 13, 100, 0, False)}
+    assert [r.text for r in paragraphs.remove_repeats(docs).collect()] == ["Head\n\n" + wrapped(p, 10) + "\n\nend"]
