@@ -195,12 +195,14 @@ def _key(doc_id: Column) -> Column:
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_hash, paragraph, n_lines, first_word, n_words, component_id, kept) of every paragraph that repeats across documents.
+    """(doc_id, text_hash, paragraph, n_lines, first_word, n_words, component_id, component_text, component_paragraph, component_word, kept)
+    of every paragraph that repeats across documents.
 
     Paragraphs are the units() of at least least_words words, numbered by their first line. Two are linked if the Jaccard similarity of
     their sets of five-word shingles is at least `similarity`, checked exactly on pairs that meet in a band;
     links are closed to components. Components within one document are left out. component_id is
-    the smallest doc_id in the component and kept marks its first paragraph, by doc_id, text and place;
+    the smallest doc_id in the component and kept marks its first paragraph, by doc_id, text and place, whose
+    text_hash, paragraph and first_word are component_*: together with component_id they name one component;
     rows without doc_id come last. Rows of equal doc_id and text count as one document. Null and empty texts have no
     paragraphs; an empty table gives an empty result; other columns are not read.
 
@@ -240,11 +242,11 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least_wor
     near = link_held(held, verify, "passages", last=finish)
     free_shuffles(docs.sparkSession)
     placed = found.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("paragraph"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("paragraph"), F.col("first_word"))
     spans = placed.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("doc_id").alias("component_id"))
     spans = spans.where("first.text_hash <> last.text_hash OR NOT (first.doc_id <=> last.doc_id)")
     kept = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("paragraph") == F.col("first.paragraph"))
-    return placed.join(spans, "component").select("doc_id", "text_hash", "paragraph", "n_lines", "first_word", "n_words", "component_id", kept.alias("kept"))
+    return placed.join(spans, "component").select("doc_id", "text_hash", "paragraph", "n_lines", "first_word", "n_words", "component_id", F.col("first.text_hash").alias("component_text"), F.col("first.paragraph").alias("component_paragraph"), F.col("first.first_word").alias("component_word"), kept.alias("kept"))
 
 
 @F.pandas_udf(StringType())
@@ -275,9 +277,10 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph and every verbatim run of over 50 words that repeats across documents.
 
     For a run, paragraph is the line it begins in, and component_id the document with its first copy.
+    component_id, component_text, component_paragraph and component_word are the place of the first copy.
     """
     docs = table(spark, sf_dir, "documents")
-    columns = ["doc_id", "paragraph", "n_words", "component_id", "kept", "first_word", "verbatim"]
+    columns = ["doc_id", "paragraph", "n_words", "component_id", "kept", "first_word", "verbatim", "component_text", "component_paragraph", "component_word"]
     near = repeated_passages(docs).withColumn("verbatim", F.lit(False)).select(*columns)
     return near.union(repeated_runs(docs).withColumn("verbatim", F.lit(True)).select(*columns))
 

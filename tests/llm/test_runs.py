@@ -69,3 +69,15 @@ def test_hard_wrapped_near_copies_are_one_paragraph(spark):
     got = {(r.doc_id, r.paragraph, r.n_lines, r.n_words, r.first_word, r.kept) for r in paragraphs.repeated_passages(docs).collect()}
     assert got == {(1, 2, 10, 100, 1, True), (2, 0, 13, 100, 0, False)}
     assert [r.text for r in paragraphs.remove_repeats(docs).collect()] == ["Head\n\n" + wrapped(p, 10) + "\n\nend"]
+
+
+def test_components_of_one_document_differ(spark):
+    rng = random.Random(4)
+    p, q = (" ".join(words(rng, 30)) for _ in range(2))
+    docs = spark.createDataFrame([(1, f"{p}\n{q}"), (2, p), (3, q), (None, "a " + p), (None, "b " + q)], "doc_id long, text string")
+    name = lambda r: (r.component_id, r.component_text, r.component_paragraph, r.component_word)
+    rows = paragraphs.repeated_passages(docs).collect()
+    assert {r.doc_id: (r.component_id, r.component_paragraph, r.component_word) for r in rows if r.doc_id in (2, 3)} == {2: (1, 0, 0), 3: (1, 1, 30)}
+    assert len({name(r) for r in rows}) == 2 and len(rows) == 6
+    anonymous = paragraphs.repeated_passages(spark.createDataFrame([(None, x + t) for t in (p, q) for x in ("a ", "b ")], "doc_id long, text string")).collect()
+    assert len({name(r) for r in anonymous}) == 2 and len(anonymous) == 4
