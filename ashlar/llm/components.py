@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,67 +41,88 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct().select(F.col("node").cast(kind), F.col("component").cast(kind))
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, rounds: int = 2) -> DataFrame:
-    """(node, component) over all verified pairs of nodes that share a bucket.
+class Exact(Protocol):
+    """Decides on pairs for which a cheap necessary condition holds."""
 
-    members(bucket, node) lists each node once per bucket. verify takes pairs(a, b), distinct with a < b,
-    and returns those that hold. Star rounds first test every member against one member of its
-    bucket, drawn anew each round, and contract what holds. The last round tests each pair of a bucket
-    whose ends lie in different components so far. A pair left untested has both ends in one
-    component already, so the result equals that of testing every pair of every bucket, without
-    writing the square of a dense bucket. Nodes without a verified pair are absent.
-    """
-    return link_held(shared_buckets(members, label), verify, label, rounds)
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) that hold."""
 
+    def to_giant(self, few: DataFrame, many: DataFrame) -> DataFrame:
+        """(a, b): components cx of rows of few(bucket, part, node_x, cx, giant, ..) of which some row of many(bucket, part, node_y, ..) holds, and giant."""
 
-def shared_buckets(members: DataFrame, label: str) -> DataFrame:
-    """The members of buckets with more than one node, as a written table."""
-    sized = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return stage(members.join(sized, "bucket"), f"{label}-members")
 
+#: Members of a bucket that meet the others in one task; larger buckets are dealt out by salt.
+SALTED = 4096
 
-def link_held(held: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, rounds: int = 2, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """link_buckets() for the table that shared_buckets() wrote.
 
-    last(open) may stand in for the last round: it gets open(bucket, node, component), the buckets
-    that still span several components, and returns verified pairs(a, b), at least all those between
-    components. The first hub is then the member with the most company in all its buckets.
+def shared_buckets(members: DataFrame, label: str) -> DataFrame:
+    """(bucket, node, lo, hi) of the buckets of members(bucket, node) with more than one node, as a written table.
+
+    lo and hi are a bucket's smallest and largest node. Each node stands once in a bucket.
+    """
+    ends = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    return stage(members.join(ends, "bucket"), f"{label}-members")
+
+
+def link_buckets(members: DataFrame, near: Callable[[str, str], Column], label: str, light: DataFrame | None = None, exact: Exact | None = None) -> DataFrame:
+    """(node, component) over all pairs of nodes that share a bucket of members(bucket, node) and are near.
+
+    near(x, y) is the condition on columns `c_x` and `c_y` for each column c of light(node, ..). exact decides on the pairs that
+    are near; without it near decides. Every member is first tested
+    against the smallest and the largest node of its bucket, and these two leave it: they have met
+    everyone. What holds is contracted, and a bucket whose members are all in one component is closed. In each open
+    bucket the members outside its largest component are then tested against that one, which puts out a
+    row a member however many it is near to, and the largest component leaves too. What still spans several
+    components is tested pair by pair. A pair left untested has both ends in one component already, so the
+    result equals that of testing every pair of every bucket, without writing the square of a dense one.
+    Nodes without a pair that holds are absent.
     """
-    tag = F.xxhash64("bucket", "node")
-    state = held
-    found: DataFrame | None = None
-    for turn in range(rounds):
-        if last is not None and not turn:
-            sizes = held.groupBy("bucket").agg(F.count("*").alias("n"))
-            company = held.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("company"))
-            hubs = held.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("hub"))
-        else:
-            pick = F.min(F.struct(F.xxhash64(tag, F.lit(turn)).alias("h"), F.col("node")))["node"]
-            hubs = state.groupBy("bucket").agg(pick.alias("hub"))
-        joined = state.join(hubs, "bucket").where("node <> hub")
-        if turn:  # only members that the hub's component has not reached yet
-            of_hub = found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            joined = joined.join(of_hub, "hub", "left").where("component <> coalesce(hub_component, hub)")
-        pairs = joined.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = _merge(found, verify(pairs), label)
-        state = _open_buckets(held, found, state, label)
-        free_shuffles(held.sparkSession)
-    if last is not None:
-        return _merge(found, last(state), label)
-    left = state.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = state.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "bucket").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _merge(found, verify(pairs), label)
-
-
-def _open_buckets(held: DataFrame, found: DataFrame, state: DataFrame, label: str) -> DataFrame:
-    """Members of the buckets that still span several components, with their component."""
-    seen = held.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    spark = members.sparkSession
+    held = shared_buckets(members, label)
+    known = (lambda df: df.join(light, "node")) if light is not None else (lambda df: df)
+    columns = light.columns if light is not None else ["node"]
+    side = lambda df, x, *extra: df.select(*extra, *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    order = F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")
+    holds = exact or (lambda pairs: pairs)
+
+    ends = held.select(F.col("node").alias("x"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    if light is None:
+        tested = ends.select(F.col("a").alias("node_x"), F.col("b").alias("node_y"))
+    else:
+        tested = ends.join(side(light, "x"), F.col("a") == F.col("node_x")).join(side(light, "y"), F.col("b") == F.col("node_y"))
+    found = _merge(None, holds(stage(tested.where(near("x", "y")).select(*order), f"{label}-ends")), label)
+    free_shuffles(spark)
+    state = _open_buckets(held.where("node <> lo AND node <> hi").select("bucket", "node"), found, label)
+    discard(held)
+
+    sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    giant = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("giant"), F.sum("n").alias("size"))
+    dealt = stage(known(state.join(giant, "bucket").withColumn("parts", F.ceil(F.col("size") / SALTED).cast("int"))), f"{label}-dealt")
+    discard(state)
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    few = side(dealt.where("component <> giant"), "x", "bucket", part, F.col("component").alias("cx"), "giant")
+    many = side(dealt.where("component = giant"), "y", "bucket", parts)
+    linked = few.join(many, (few.bucket == many.bucket) & (few.part == many.part) & near("x", "y"), "left_semi")
+    if exact is None:
+        linked = linked.select(F.col("cx").alias("a"), F.col("giant").alias("b"))
+    else:
+        linked = exact.to_giant(stage(linked, f"{label}-drawn"), many)
+    found = _merge(found, linked.distinct(), label)
+    free_shuffles(spark)
+    rest = _open_buckets(dealt.where("component <> giant").select("bucket", "node"), found, label)
+    crowd = rest.groupBy("bucket").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("parts"))
+    dealt_rest = known(rest.join(crowd, "bucket"))
+    one, other = side(dealt_rest, "x", "bucket", part, F.col("component").alias("cx")), side(dealt_rest, "y", "bucket", parts, F.col("component").alias("cy"))
+    pairs = one.join(other, (one.bucket == other.bucket) & (one.part == other.part) & (F.col("cx") < F.col("cy")) & near("x", "y")).select(*order).distinct()
+    return _merge(found, holds(stage(pairs, f"{label}-pairs")), label)
+
+
+def _open_buckets(members: DataFrame, found: DataFrame, label: str) -> DataFrame:
+    """(bucket, node, component) of the buckets of members(bucket, node) that span several components."""
+    seen = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     split = seen.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    out = stage(seen.join(split, "bucket"), f"{label}-open")
-    if state is not held:
-        discard(state)
-    return out
+    return stage(seen.join(split, "bucket"), f"{label}-open")
 
 
 def _merge(found: DataFrame | None, pairs: DataFrame, label: str) -> DataFrame:

@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import discard, free_shuffles, stage, table
-from .components import hamming, link_held, shared_buckets
+from .components import hamming, link_buckets
 from .runs import cut_words, repeated_runs, split_words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Paragraphs with fewer words are left alone: headings, slogans and set phrases repeat in sound texts.
 LEAST_WORDS = 20
-#: Buckets of up to so many paragraphs are compared member by member, larger ones by a rarest-first prefix join.
-WIDE = 256
 #: 64-bit words of the parity bitmap that rules out most pairs without reading their shingles.
-BITMAP = 8
+BITMAP = 4
+#: Documents that a worker turns into paragraphs before it hands their rows on.
+SLICE = 256
 #: Ids of documents to read again are broadcast up to this many (some 64 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bands of two values each: at similarity 0.8 a pair meets in one of 12 bands but for (1 - 0.64) ** 12 = 0.000005.
@@ -77,7 +77,7 @@ def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[i
 
 
 def band_keys(found: list[tuple[int, int, int, int, int, np.ndarray]]) -> np.ndarray:
-    """BANDS keys for each paragraph, from BANDS * ROWS minima."""
+    """BANDS keys of 32 bits for each paragraph, from BANDS * ROWS minima."""
     sizes = [len(x[5]) for x in found]
     starts = np.cumsum([0, *sizes[:-1]])
     low = np.minimum.reduceat(np.concatenate([x[5] for x in found])[:, None] * _FACTOR + _SHIFT, starts, axis=0)
@@ -86,7 +86,7 @@ def band_keys(found: list[tuple[int, int, int, int, int, np.ndarray]]) -> np.nda
     for k in range(ROWS):
         keys = (keys ^ low[:, :, k]) * _BASE
         keys ^= keys >> np.uint64(31)
-    return keys.view(np.int64)
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _signed(x: int) -> int:
@@ -103,43 +103,52 @@ def _place(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
+_PLACE = ["text_hash", "paragraph", "n_lines", "first_word", "n_words", "node"]
+_LIGHT = ["n", *[f"x{i}" for i in range(BITMAP)]]
+_KEYS = [f"k{i}" for i in range(BANDS)]
+
+
 def paragraph_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text_hash, paragraph, n_lines, first_word, n_words, node, bands) of every long enough paragraph of every document."""
+    """(doc_id, text_hash, paragraph, n_lines, first_word, n_words, node, n, x0 .., k0 ..) of every long enough paragraph of every document.
+
+    n counts distinct shingles, x0 .. are the parity bitmap and k0 .. the band keys. Equal nodes have equal ones.
+    """
     kind = dict(docs.dtypes)["doc_id"]
+    names = [*_PLACE, *_LIGHT, *_KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = [], []
-            for r, value in enumerate(batch.column(1)):
-                text = value.as_py()
-                found = paragraphs(text, least_words)
-                if found:
-                    own = _signed(xxhash.xxh64_intdigest(text, _SEED))
-                    rows += [(r, own, i, lines, at, n, _signed(node)) for i, lines, at, n, node, _ in found]
-                    keys.append(band_keys(found))
-            if not rows:
-                continue
-            r, *columns = np.array(rows, np.int64).T
-            flat = np.concatenate(keys).ravel()
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), *map(pa.array, columns), bands], names=["doc_id", "text_hash", "paragraph", "n_lines", "first_word", "n_words", "node", "bands"])
-
-    return _place(docs).mapInArrow(run, f"doc_id {kind}, text_hash long, paragraph long, n_lines long, first_word long, n_words long, node long, bands array<long>")
+            for start in range(0, batch.num_rows, SLICE):
+                some, rows, all_found = batch.slice(start, SLICE), [], []
+                for r, value in enumerate(some.column(1)):
+                    text = value.as_py()
+                    found = paragraphs(text, least_words)
+                    if found:
+                        own = _signed(xxhash.xxh64_intdigest(text, _SEED))
+                        rows += [(r, own, i, lines, at, n, _signed(node), len(hashes), *parity_bitmap(hashes).tolist()) for i, lines, at, n, node, hashes in found]
+                        all_found += found
+                if rows:
+                    r, *columns = np.array(rows, np.int64).T
+                    keys = band_keys(all_found).T
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(r)), *map(pa.array, columns), *(pa.array(np.ascontiguousarray(k)) for k in keys)], names=["doc_id", *names])
+
+    return _place(docs).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} {'int' if c in _KEYS else 'long'}" for c in names))
 
 
 def shingle_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(node, shingles, n, bitmap) of the paragraphs of docs; n counts the shingles."""
+    """(node, shingles) of the paragraphs of docs(text, wanted) whose node is among wanted, a list of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {node: s for value in batch.column(1) for *_, node, s in paragraphs(value.as_py(), least_words)}
-            if found:
-                nodes = np.fromiter(found, np.uint64, len(found)).view(np.int64)
-                lists = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in found.values()], [parity_bitmap(s) for s in found.values()])]
-                sizes = pa.array([len(s) for s in found.values()], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), lists[0], sizes, lists[1]], names=["node", "shingles", "n", "bitmap"])
+            for start in range(0, batch.num_rows, SLICE):
+                some, found = batch.slice(start, SLICE), {}
+                for value, wanted in zip(some.column(0), some.column(1), strict=True):
+                    mine = set(wanted.as_py())
+                    found |= {_signed(node): s for *_, node, s in paragraphs(value.as_py(), least_words) if _signed(node) in mine}
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return _place(docs).mapInArrow(run, "node long, shingles array<long>, n int, bitmap array<long>")
+    return docs.select("text", "wanted").mapInArrow(run, "node long, shingles array<long>")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -147,46 +156,44 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def least_common(similarity: float) -> Column:
-    """Shingles that sets of n_a and n_b must share at least to be similar."""
-    return F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
+def may_be_similar(similarity: float, x: str, y: str) -> Column:
+    """A condition on sizes and bitmaps that all pairs of sets as similar as that meet.
 
+    Similar sets of n_x and n_y share at least s / (1 + s) of n_x + n_y, so they differ in at most the rest, and so do their bitmaps.
+    """
+    total = F.col(f"n_{x}") + F.col(f"n_{y}")
+    differ = sum((hamming(F.col(f"x{i}_{x}"), F.col(f"x{i}_{y}")) for i in range(BITMAP)), F.lit(0))
+    apart = total - 2 * F.ceil(total * (similarity / (1 + similarity)) - 1e-9)
+    return (F.abs(F.col(f"n_{x}") - F.col(f"n_{y}")) <= apart) & (differ <= apart)
 
-def near_in_buckets(members: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs(a, b) of nodes of members(bucket, node, component) that share a bucket but no component.
 
-    The join itself drops a pair whose bitmaps differ in more bits than similar sets may differ in
-    shingles, which loses no similar pair.
-    """
-    known = members.join(shingles.select("node", "n", "bitmap"), "node")
-    side = lambda x: known.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "bitmap")])
-    differ = sum((hamming(F.col("bitmap_a")[i], F.col("bitmap_b")[i]) for i in range(BITMAP)), F.lit(0))
-    a, b = side("a"), side("b")
-    near = (F.col("component_a") < F.col("component_b")) & (differ <= F.col("n_a") + F.col("n_b") - 2 * least_common(similarity))
-    return a.join(b, (a.bucket == b.bucket) & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-
-def similar_across(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs(a, b) of rows of nodes(node, component, shingles, n) in different components that are similar.
-
-    Families of copies that are each a few edits off share all their bands, so their pairs are not
-    written down. A node's shingles are put in order, the rarest first; a similar pair has a common shingle
-    among the first n - ceil(similarity * n) + 1 of both, at places that leave enough after them. Nodes meet on those
-    shingles, and the join itself checks the places and then the exact similarity, so it puts out
-    similar pairs only. This finds every such pair.
-    """
-    tokens = nodes.select("node", F.explode("shingles").alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    # Shingles of one node alone come first in its order and meet nothing; only their number matters.
-    common = tokens.join(rarity, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("common"))
-    rows = nodes.join(common, "node").where(first > 0).select("node", "component", "shingles", "n", (F.col("n") - F.size("common")).alias("alone"), F.posexplode(F.slice("common", F.lit(1), first.cast("int"))).alias("pos", "t"))
-    side = lambda x: rows.select(F.col("t.token").alias("token"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "shingles", "n")], (F.col("n") - F.col("alone") - F.col("pos")).alias(f"room_{x}"))
-    a, b = side("a"), side("b")
-    both = (F.col("component_a") < F.col("component_b")) & (F.least("room_a", "room_b") >= least_common(similarity))
-    similar = F.when(both, jaccard(F.col("shingles_a"), F.col("shingles_b")) >= similarity).otherwise(False)
-    pairs = a.join(b, (a.token == b.token) & similar)
-    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+class ExactJaccard:
+    """Decides on pairs of paragraphs by their shingles, which are worked out anew for the few that are asked for."""
+
+    def __init__(self, docs: DataFrame, holders: DataFrame, similarity: float, least_words: int):
+        """holders(node, holder) names a document, by _key(), with each paragraph."""
+        self.docs, self.holders, self.similarity, self.least_words = docs, holders, similarity, least_words
+
+    def shingles(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of nodes(node). Only documents that hold one are tokenized again."""
+        wanted = stage(self.holders.join(nodes.distinct(), "node").groupBy("holder").agg(F.collect_list("node").alias("wanted")), "passage-holders")
+        few = wanted.count() <= BROADCAST_IDS
+        texts = self.docs.select("doc_id", "text").join(F.broadcast(wanted.select("holder")) if few else wanted.select("holder"), _key(F.col("doc_id")) == F.col("holder"), "left_semi")
+        again = texts.select("text", _key(F.col("doc_id")).alias("holder")).join(wanted, "holder")
+        return stage(shingle_table(again, self.least_words).dropDuplicates(["node"]), "passage-shingles")
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        known = self.shingles(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        a, b = (known.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        return stage(pairs.join(a, "a").join(b, "b").where(jaccard(F.col("sa"), F.col("sb")) >= self.similarity).select("a", "b"), "passage-similar")
+
+    def to_giant(self, few: DataFrame, many: DataFrame) -> DataFrame:
+        open_ones = many.join(few.select("bucket").distinct(), "bucket", "left_semi")
+        known = self.shingles(few.select(F.col("node_x").alias("node")).union(open_ones.select("node_y")))
+        x = few.join(known.select(F.col("node").alias("node_x"), F.col("shingles").alias("sx")), "node_x")
+        y = open_ones.join(known.select(F.col("node").alias("node_y"), F.col("shingles").alias("sy")), "node_y")
+        holds = may_be_similar(self.similarity, "x", "y") & (jaccard(F.col("sx"), F.col("sy")) >= self.similarity)
+        return stage(x.join(y, (x.bucket == y.bucket) & (x.part == y.part) & holds, "left_semi").select(F.col("cx").alias("a"), F.col("giant").alias("b")).distinct(), "passage-to-giant")
 
 
 def _key(doc_id: Column) -> Column:
@@ -210,36 +217,14 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least_wor
     hold a colliding paragraph are read again for the exact check.
     """
     whole = stage(paragraph_table(docs, least_words), "passages")
-    nodes = stage(whole.groupBy("node").agg(F.first("bands").alias("bands"), F.min(_key(F.col("doc_id"))).alias("holder")), "passage-nodes")
-    found = stage(whole.drop("bands").distinct(), "passage-places")
+    nodes = stage(whole.groupBy("node").agg(F.min(_key(F.col("doc_id"))).alias("holder"), *[F.min(c).alias(c) for c in (*_LIGHT, *_KEYS)]), "passage-nodes")
+    found = stage(whole.select("doc_id", *_PLACE).distinct(), "passage-places")
     discard(whole)
     free_shuffles(docs.sparkSession)
-    held = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), "passages")
-    free_shuffles(docs.sparkSession)
-    colliding = stage(held.select("node").distinct(), "passage-colliding")
-    holders = stage(nodes.join(colliding, "node").select(F.col("holder").alias("_holder")).distinct(), "passage-holders")
-    discard(nodes)
-    few = holders.count() <= BROADCAST_IDS
-    again = docs.select("doc_id", "text").join(F.broadcast(holders) if few else holders, _key(F.col("doc_id")) == F.col("_holder"), "left_semi")
-    shingles = stage(shingle_table(again, least_words).join(colliding, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("shingles", "n", "bitmap")]), "passage-shingles")
-    free_shuffles(docs.sparkSession)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (shingles.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
-
-    def finish(state: DataFrame) -> DataFrame:
-        sizes = state.groupBy("bucket").agg(F.count("*").alias("size"))
-        small = state.join(sizes.where(F.col("size") <= WIDE).select("bucket"), "bucket")
-        pairs = stage(near_in_buckets(small, shingles, similarity), "passage-pairs")
-        free_shuffles(docs.sparkSession)
-        held_pairs = stage(verify(pairs), "passage-similar")
-        wide = state.join(sizes.where(F.col("size") > WIDE).select("bucket"), "bucket").select("node", "component").distinct()
-        wide = stage(wide.join(shingles.select("node", "shingles", "n"), "node"), "passage-wide")
-        free_shuffles(docs.sparkSession)
-        return held_pairs.union(similar_across(wide, similarity)).distinct()
-
-    near = link_held(held, verify, "passages", last=finish)
+    bucket = lambda i: F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(F.col(f"k{i}").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    members = nodes.select(F.explode(F.array(*[bucket(i) for i in range(BANDS)])).alias("bucket"), "node")
+    exact = ExactJaccard(docs, nodes.select("node", "holder"), similarity, least_words)
+    near = link_buckets(members, lambda x, y: may_be_similar(similarity, x, y), "passages", nodes.select("node", *_LIGHT), exact)
     free_shuffles(docs.sparkSession)
     placed = found.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("paragraph"), F.col("first_word"))

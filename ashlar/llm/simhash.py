@@ -78,7 +78,7 @@ def linked(docs: DataFrame, max_distance: int = 4, width: int = 4) -> DataFrame:
     masks = block_masks(nodes.count(), max_distance)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])
     members = nodes.select(F.explode(keys).alias("bucket"), F.col("fp").alias("node"))
-    near = link_buckets(members, lambda pairs: pairs.where(hamming(F.col("a"), F.col("b")) <= max_distance), "simhash")
+    near = link_buckets(members, lambda x, y: hamming(F.col(f"node_{x}"), F.col(f"node_{y}")) <= max_distance, "simhash")
     labelled = nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = labelled.select("fp", "component").join(smallest, "component")

@@ -107,7 +107,7 @@ def test_dense_bucket_links_equal_all_pairs(spark):
     rng = np.random.default_rng(2)
     nodes = np.unique(np.array([sum(1 << int(b) for b in rng.choice(24, rng.integers(0, 9), replace=False)) for _ in range(150)]))
     members = spark.createDataFrame([(b, int(x)) for b in (0, 1) for x in nodes], "bucket long, node long")
-    found = link_buckets(members, lambda p: p.where(hamming(F.col("a"), F.col("b")) <= 3), "dense")
+    found = link_buckets(members, lambda x, y: hamming(F.col(f"node_{x}"), F.col(f"node_{y}")) <= 3, "dense")
     got = {r.node: r.component for r in found.collect()}
     want = components(len(nodes), [(i, j) for i in range(len(nodes)) for j in range(i) if bin(int(nodes[i]) ^ int(nodes[j])).count("1") <= 3])
     groups = {}
@@ -235,12 +235,23 @@ def test_repeated_passages_match_all_pairs(spark, texts):
     assert all(r.text.strip() for r in cleaned.collect()) and paragraphs.repeated_passages(docs.limit(0)).count() == 0
 
 
-def test_wide_buckets_give_the_same_passages(spark, texts, monkeypatch):
-    docs = corpus(spark, texts)
-    rows = lambda: {(r.doc_id, r.paragraph, r.component_id, r.kept) for r in paragraphs.repeated_passages(docs).collect()}
-    narrow = rows()
-    monkeypatch.setattr(paragraphs, "WIDE", 1)
-    assert rows() == narrow
+def test_dense_families_of_paragraphs_match_all_pairs(spark):
+    """Copies that are each a few edits off: they share their buckets, and the links between them make chains."""
+    rng = random.Random(12)
+    family = [words(rng, 60).split()]
+    for _ in range(120):
+        w = list(rng.choice(family))
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        family.append(w)
+    texts = [" ".join(w) for w in family]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, _ = brute_passages(texts, 20)
+    got = paragraphs.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.paragraph) for r in got} == want
+    shingles = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in family]
+    root = components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])])
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, c in enumerate(root) if root.count(c) > 1}
 
 
 def test_bitmaps_never_differ_more_than_the_sets():
