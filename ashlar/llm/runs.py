@@ -19,6 +19,8 @@ RUN = 51
 ANCHOR = 25
 #: Bits of a place that count words; the ones above count documents.
 PLACE_BITS = 25
+#: Ids of later copies are broadcast up to this many (some 64 bytes each), else joined by shuffle.
+BROADCAST_IDS = 1 << 20
 _SEED = 42
 _BASE = 0x9E3779B97F4A7C15
 #: Characters of scripts written without spaces, in UTF-8: Thai, Lao, Myanmar, Khmer, kana, Han.
@@ -78,22 +80,26 @@ def _key(doc_id: Column) -> Column:
 
 
 def _anchors(own: DataFrame) -> DataFrame:
-    """(own, anchor), a pair once a row of own(own, text)."""
+    """(own, anchor, n_words, line) of own(own, text): a row for each anchor, and one without anchor that has the words of the text and its first line that holds one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(ids), 1024):
-                mine, found = [], []
-                for i, text in enumerate(batch.column(1).slice(at, 1024)):
+            for at in range(0, len(ids), 256):
+                mine, found, whole = [], [], []
+                for i, text in enumerate(batch.column(1).slice(at, 256)):
                     h = run_hashes(text.as_py())
                     if h:
                         found.append(np.unique(h[0]))
                         mine.append(np.full(len(found[-1]), ids[at + i]))
+                        whole.append((ids[at + i], len(h[0]) + RUN - 1, h[2][0]))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mine)), pa.array(np.concatenate(found))], names=["own", "anchor"])
+                    none = pa.nulls(sum(map(len, found)), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mine)), pa.array(np.concatenate(found)), none, none], names=["own", "anchor", "n_words", "line"])
+                    o, n, line = np.array(whole, np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(o), pa.nulls(len(o), pa.int64()), pa.array(n), pa.array(line)], names=["own", "anchor", "n_words", "line"])
 
-    return own.select("own", "text").mapInArrow(run, "own long, anchor long")
+    return own.select("own", "text").mapInArrow(run, "own long, anchor long, n_words long, line long")
 
 
 def _numbered(own: DataFrame, held: DataFrame) -> DataFrame:
@@ -132,21 +138,35 @@ def _candidates(held: DataFrame) -> DataFrame:
     return held.select("ord", "text", "live").mapInArrow(run, "hash long, place long, line int")
 
 
+def _place(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).withColumn("own", F.xxhash64(_key(F.col("doc_id")), "text_hash"))
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, paragraph, first_word, n_words, component_id, component_text, component_paragraph, component_word, kept).
 
     Every run of RUN or more words that stands verbatim in several documents, but for case and white space; lines do
-    not matter. A window of RUN words is known by its hash and its smallest anchor, so equal windows have equal
-    anchors and only windows whose anchor several documents share are written down: all repeats are found
-    and no pairs are made. A run is a stretch of windows with one first copy; component_* tell the first copy's
-    place (by doc_id, text and word; rows without doc_id last) and kept marks runs of the document that holds it.
+    not matter. Documents of equal text are one run each, from the first word to the last, and only the first
+    of them (by doc_id; rows without doc_id last) is held against the other texts. There a window of RUN words is known by its hash and
+    its smallest anchor, so equal windows have equal anchors and only windows whose anchor several texts share
+    are written down: all repeats are found and no pairs are made. A run is a stretch of windows with one first copy; component_* tell
+    the first copy's place (by doc_id, text and word) and kept marks runs of the document that holds it.
     paragraph and first_word count lines and words of the text from 0. Rows of equal doc_id and text count as one.
     """
     spark = docs.sparkSession
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).withColumn("own", F.xxhash64(_key(F.col("doc_id")), "text_hash"))
+    every = _place(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("own"))
+    same = every.groupBy("text_hash").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first.own <> last.own").select("text_hash", F.col("first.own").alias("first_own"), F.col("first.doc_id").alias("first_id"))
+    copies = stage(every.select("doc_id", "text_hash", "own").join(same, "text_hash").distinct(), "run-copies")
+    later = copies.where("own <> first_own").select("own")
+    own = every.join(F.broadcast(later) if later.count() <= BROADCAST_IDS else later, "own", "left_anti")
     anchors = stage(_anchors(own), "run-anchors")
-    live = anchors.groupBy("anchor").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("anchor")
-    held = stage(anchors.join(live, "anchor").groupBy("own").agg(F.collect_set("anchor").alias("live")), "run-live")
+    known = anchors.where("anchor IS NOT NULL").select("own", "anchor")
+    live = known.groupBy("anchor").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("anchor")
+    held = stage(known.join(live, "anchor").groupBy("own").agg(F.collect_set("anchor").alias("live")), "run-live")
+    of_copies = anchors.where("anchor IS NULL").select(F.col("own").alias("first_own"), "n_words", "line")
+    component = [F.col("first_id").alias("component_id"), F.col("text_hash").alias("component_text"), F.col("line").alias("component_paragraph"), F.lit(0).cast("long").alias("component_word")]
+    whole = stage(copies.join(of_copies, "first_own").select("doc_id", "text_hash", F.col("line").alias("paragraph"), F.lit(0).cast("long").alias("first_word"), "n_words", *component, (F.col("own") == F.col("first_own")).alias("kept")), "run-whole")
     discard(anchors)
     free_shuffles(spark)
     ids = stage(_numbered(own, held), "run-numbers")
@@ -169,8 +189,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         "doc_id", "text_hash", F.col("line").cast("long").alias("paragraph"), word("place").alias("first_word"), (F.col("to") - F.col("place") + RUN).alias("n_words"),
         "component_id", "component_text", F.col("there_line").cast("long").alias("component_paragraph"), word("there").alias("component_word"), (F.col("o") == F.col("f")).alias("kept"),
     )
-    out = stage(out, "runs")
-    discard(repeated)
+    out = stage(out.unionByName(whole), "runs")
+    discard(repeated, whole, copies)
     free_shuffles(spark)
     return out
 
