@@ -55,50 +55,76 @@ def units(text: str | None, least_words: int = LEAST_WORDS) -> Iterator[tuple[in
         at += len(words)
 
 
-def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, int, int, np.ndarray]]:
-    """(first line, lines, first word, words, node, shingle hashes) of each of the units() of a text.
+class Slice:
+    """The paragraphs of some texts, with their shingles worked out together.
 
-    node is the XXH64 of the words joined by spaces; shingle hashes are 64-bit, of SHINGLE words,
-    distinct and sorted.
+    rows has (text, first line, lines, first word, words, node) of each, text being a place in texts and node the XXH64 of the
+    words joined by spaces. Shingles are hashes of SHINGLE words in 52 bits, distinct within a paragraph; those of
+    paragraph i stand at starts[i] : starts[i + 1] in hashes, sorted. A paragraph of fewer words has one.
     """
-    out = []
-    digest = xxhash.xxh64_intdigest
-    for i, lines, at, words in units(text, least_words):
-        n = len(words)
-        hashes = np.fromiter(map(digest, words), np.uint64, n)
-        rolled = hashes[: max(1, n - SHINGLE + 1)].copy()
-        for k in range(1, min(SHINGLE, n)):
-            rolled *= _BASE
-            rolled += hashes[k : k + len(rolled)]
+
+    def __init__(self, texts: list[str | None], least_words: int = LEAST_WORDS):
+        digest = xxhash.xxh64_intdigest
+        self.rows: list[tuple[int, int, int, int, int, int]] = []
+        every: list[bytes] = []
+        for r, text in enumerate(texts):
+            for i, lines, at, words in units(text, least_words):
+                self.rows.append((r, i, lines, at, len(words), digest(b" ".join(words), _SEED)))
+                every += words
+        sizes = np.fromiter((x[4] for x in self.rows), np.int64, len(self.rows))
+        words_hashed = np.fromiter(map(digest, every), np.uint64, len(every))
+        ends = np.cumsum(sizes)
+        width = np.minimum(sizes, SHINGLE)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        rolled = words_hashed.copy()
+        for k in range(1, SHINGLE):
+            ahead = np.zeros_like(rolled)
+            ahead[: len(rolled) - k] = words_hashed[k:]
+            longer = rolled * _BASE + ahead
+            rolled = longer if (width > k).all() else np.where((width > k)[owner], longer, rolled)
         rolled ^= rolled >> np.uint64(29)
         rolled *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append((i, lines, at, n, digest(b" ".join(words), _SEED), np.unique(rolled)))
-    return out
-
-
-def band_keys(found: list[tuple[int, int, int, int, int, np.ndarray]]) -> np.ndarray:
-    """BANDS keys of 32 bits for each paragraph, from BANDS * ROWS minima."""
-    sizes = [len(x[5]) for x in found]
-    starts = np.cumsum([0, *sizes[:-1]])
-    low = np.minimum.reduceat(np.concatenate([x[5] for x in found])[:, None] * _FACTOR + _SHIFT, starts, axis=0)
-    low = low.reshape(len(found), BANDS, ROWS)
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(found), BANDS)).copy()
-    for k in range(ROWS):
-        keys = (keys ^ low[:, :, k]) * _BASE
-        keys ^= keys >> np.uint64(31)
-    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        whole = np.arange(len(rolled)) <= (ends - width)[owner]
+        self.hashes, self.starts = self._distinct(rolled[whole] >> np.uint64(12), owner[whole], len(sizes))
+
+    @staticmethod
+    def _distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each owner's distinct hashes, sorted, and where they start. Up to 4096 owners share a sort: 12 bits in front of 52."""
+        parts = []
+        for first in range(0, n, 4096):
+            lo, hi = np.searchsorted(owner, [first, first + 4096])
+            keys = np.sort(((owner[lo:hi] - first).astype(np.uint64) << np.uint64(52)) | hashes[lo:hi])
+            parts.append((keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys, first))
+        out = np.concatenate([k & np.uint64((1 << 52) - 1) for k, _ in parts]) if parts else hashes
+        counts = np.concatenate([np.bincount((k >> np.uint64(52)).astype(np.int64), minlength=min(4096, n - first)) for k, first in parts]) if parts else np.zeros(0, np.int64)
+        return out, np.concatenate([[0], np.cumsum(counts)])
+
+    def shingles(self, i: int) -> np.ndarray:
+        return self.hashes[self.starts[i] : self.starts[i + 1]].view(np.int64)
+
+    def band_keys(self) -> list[np.ndarray]:
+        """BANDS keys of 32 bits for each paragraph, from BANDS * ROWS minima."""
+        out = []
+        for band in range(BANDS):
+            key = np.full(len(self.rows), band, np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                key = (key ^ np.minimum.reduceat(self.hashes * _FACTOR[k] + _SHIFT[k], self.starts[:-1])) * _BASE
+                key ^= key >> np.uint64(31)
+            out.append((key >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        return out
+
+    def bitmaps(self) -> np.ndarray:
+        """BITMAP words a paragraph; each shingle flips one bit, so two bitmaps differ in no more bits than the sets in shingles."""
+        n, bits = len(self.rows), 64 * BITMAP
+        owner = np.repeat(np.arange(n), np.diff(self.starts))
+        flips = np.bincount(owner * bits + ((self.hashes >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+        return np.packbits(flips.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view(np.int64)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def parity_bitmap(hashes: np.ndarray) -> np.ndarray:
-    """BITMAP words; each shingle flips one bit, so two bitmaps differ in no more bits than the sets in shingles."""
-    bits = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
-
-
 def _place(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
@@ -119,18 +145,17 @@ def paragraph_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
-                some, rows, all_found = batch.slice(start, SLICE), [], []
-                for r, value in enumerate(some.column(1)):
-                    text = value.as_py()
-                    found = paragraphs(text, least_words)
-                    if found:
-                        own = _signed(xxhash.xxh64_intdigest(text, _SEED))
-                        rows += [(r, own, i, lines, at, n, _signed(node), len(hashes), *parity_bitmap(hashes).tolist()) for i, lines, at, n, node, hashes in found]
-                        all_found += found
-                if rows:
-                    r, *columns = np.array(rows, np.int64).T
-                    keys = band_keys(all_found).T
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(r)), *map(pa.array, columns), *(pa.array(np.ascontiguousarray(k)) for k in keys)], names=["doc_id", *names])
+                some = batch.slice(start, SLICE)
+                texts = some.column(1).to_pylist()
+                own = Slice(texts, least_words)
+                if not own.rows:
+                    continue
+                r, *place = np.array([x[:5] for x in own.rows], np.int64).T
+                node = np.array([x[5] for x in own.rows], np.uint64).view(np.int64)
+                hashes = {i: _signed(xxhash.xxh64_intdigest(texts[i], _SEED)) for i in set(r.tolist())}
+                text_hash = np.array([hashes[i] for i in r.tolist()], np.int64)
+                columns = [text_hash, *place, node, np.diff(own.starts), *np.ascontiguousarray(own.bitmaps().T), *own.band_keys()]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(r)), *map(pa.array, columns)], names=["doc_id", *names])
 
     return _place(docs).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} {'int' if c in _KEYS else 'long'}" for c in names))
 
@@ -142,11 +167,13 @@ def shingle_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 some, found = batch.slice(start, SLICE), {}
-                for value, wanted in zip(some.column(0), some.column(1), strict=True):
-                    mine = set(wanted.as_py())
-                    found |= {_signed(node): s for *_, node, s in paragraphs(value.as_py(), least_words) if _signed(node) in mine}
+                wanted = [set(w) for w in some.column(1).to_pylist()]
+                own = Slice(some.column(0).to_pylist(), least_words)
+                for i, row in enumerate(own.rows):
+                    if _signed(row[5]) in wanted[row[0]]:
+                        found[_signed(row[5])] = own.shingles(i)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.view(np.int64) for s in found.values()], pa.list_(pa.int64()))], names=["node", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return docs.select("text", "wanted").mapInArrow(run, "node long, shingles array<long>")
 

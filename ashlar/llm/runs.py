@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,6 @@ ANCHOR = 25
 PLACE_BITS = 25
 #: Ids of later copies are broadcast up to this many (some 64 bytes each), else joined by shuffle.
 BROADCAST_IDS = 1 << 20
-_SEED = 42
 _BASE = 0x9E3779B97F4A7C15
 #: Characters of scripts written without spaces, in UTF-8: Thai, Lao, Myanmar, Khmer, kana, Han.
 _SINGLE = rb"(?:\xe0[\xb8-\xbb].|\xe1[\x80-\x82\x9e\x9f].|\xe3[\x81-\x83\x90-\xbf].|[\xe4-\xe9]..|\xf0[\xa0-\xaf]..)"
@@ -39,18 +39,39 @@ def _spans(line: bytes) -> list[tuple[int, int]]:
     return [x.span() for x in (_WORDS if _SINGLES.search(line) else _PLAIN).finditer(line)]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+class _Powers:
+    """Powers of the base and of its inverse, worked out once up to the longest text so far."""
 
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
 
-def _windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each run of `width` values."""
-    n = len(hashes)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(hashes * _powers(_BASE, n - 1))])
-    out = (sums[width:] - sums[:-width]) * _powers(pow(_BASE, -1, 1 << 64), n - width)
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * len(self.up), 1024)
+            of = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
+            self.up, self.down = of(_BASE), of(pow(_BASE, -1, 1 << 64))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+def _sums(hashes: np.ndarray) -> np.ndarray:
+    """Running sums of the hashes, each times a power of the base."""
+    out = np.zeros(len(hashes) + 1, np.uint64)
+    np.add.accumulate(hashes * _POWERS.upto(len(hashes))[0], out=out[1:])
+    return out
+
+
+def _windows(sums: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of `width` values, from _sums()."""
+    n = len(sums) - width
+    out = sums[width:] - sums[:-width]
+    out *= _POWERS.upto(n)[1]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,16 +84,16 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def run_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(anchor, hash, line) of the window of RUN words at each word of a text that has one."""
+def run_hashes(text: str | None, whole: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray] | None:
+    """(anchor, hash, line) of the window of RUN words at each word of a text that has one; without hashes unless whole."""
     parts = [split_words(line) for line in text.encode().lower().split(b"\n")] if text else []
     sizes = [len(x) for x in parts]
     n = sum(sizes)
     if n < RUN:
         return None
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for x in parts for w in x), np.uint64, n)
+    sums = _sums(np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(parts)), np.uint64, n))
     lines = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
-    return _smallest(_windows(hashes, ANCHOR), RUN - ANCHOR + 1).view(np.int64), _windows(hashes, RUN).view(np.int64), lines[: n - RUN + 1]
+    return _smallest(_windows(sums, ANCHOR), RUN - ANCHOR + 1).view(np.int64), _windows(sums, RUN).view(np.int64) if whole else None, lines[: n - RUN + 1]
 
 
 def _key(doc_id: Column) -> Column:
@@ -88,7 +109,7 @@ def _anchors(own: DataFrame) -> DataFrame:
             for at in range(0, len(ids), 256):
                 mine, found, whole = [], [], []
                 for i, text in enumerate(batch.column(1).slice(at, 256)):
-                    h = run_hashes(text.as_py())
+                    h = run_hashes(text.as_py(), False)
                     if h:
                         found.append(np.unique(h[0]))
                         mine.append(np.full(len(found[-1]), ids[at + i]))

@@ -254,13 +254,20 @@ def test_dense_families_of_paragraphs_match_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, c in enumerate(root) if root.count(c) > 1}
 
 
-def test_bitmaps_never_differ_more_than_the_sets():
-    rng = np.random.default_rng(5)
-    for n in (1, 20, 200, 3000):
-        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64)]))
-        apart = np.unpackbits((paragraphs.parity_bitmap(a) ^ paragraphs.parity_bitmap(b)).view(np.uint8)).sum()
-        assert apart <= len(np.setxor1d(a, b))
+def test_slices_hold_each_paragraphs_distinct_shingles():
+    rng = random.Random(6)
+    lines = [words(rng, n) for n in (1, 3, 5, 20, 21, 300)] + ["x y " * 40, "z " * 30]
+    near = lines[5].replace(lines[5].split()[150], "changed", 1)
+    own = paragraphs.Slice(["\n\n".join(lines), None, "", near], 1)
+    want = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (x.split() for x in [*lines, near])]
+    assert [x[0] for x in own.rows] == [0] * 8 + [3]
+    assert [len(own.shingles(i)) for i in range(9)] == [len(w) for w in want]
+    assert len(np.intersect1d(own.shingles(5), own.shingles(8))) == len(want[5] & want[8]) > 250
+    maps = own.bitmaps()
+    for i in range(9):
+        for j in range(9):
+            apart = np.unpackbits((maps[i] ^ maps[j]).view(np.uint8)).sum()
+            assert apart <= len(want[i] ^ want[j])
 
 
 def brute_contained(text, item):
