@@ -210,11 +210,10 @@ class Model:
 
     def bundle(self, path: str) -> None:
         """The nested two-table layout: instances with their facts, representations by item."""
-        fragments = self.meshes("item")
-        shapes = fragments.select(F.concat_ws(":", F.col("item_id").cast("string")).alias("rep_id"), "vertices", "indices", "source").groupBy("rep_id").agg(F.first("vertices").alias("vertices"), F.first("indices").alias("indices"), F.first("source").alias("mesh_source"))
-        first = fragments.groupBy("guid").agg(F.min(F.col("item_id").cast("string")).alias("rep_id"))
-        rows = substrate.nest(self.products.join(first, "guid", "left"), {n: self.table(n) for n in ("psets", "quantities", "materials", "classifications")})
-        substrate.write_bundle(rows, shapes, path)
+        fragments = durable(self.meshes("item"))
+        reps, of = substrate.representations(fragments)
+        rows = substrate.nest(self.products.join(of, "guid", "left"), {n: self.table(n) for n in ("psets", "quantities", "materials", "classifications")})
+        substrate.write_bundle(rows, reps, path)
 
     def clash(self, tolerance: float = 0.0, include: list[str] | None = None, exclude_self: list[str] | None = None) -> DataFrame:
         whole = durable(meshes.merged(self.meshes()))

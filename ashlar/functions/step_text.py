@@ -63,11 +63,35 @@ def split_args(body: str) -> list[str]:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def split_fields(body: pd.Series) -> pd.Series:
-    """split_args for a column; null stays null."""
+def _split_slow(body: pd.Series) -> pd.Series:
     return body.map(lambda b: None if b is None else split_args(b))
 
 
+_STRING = r"'[^']*+(?:''[^']*+)*+'"
+_FLAT = r"\((?:[^'()]++|" + _STRING + r")*+\)"
+_NESTED = r"\((?:[^'()]++|" + _STRING + "|" + _FLAT + r")*+\)"
+_DEEP = r"\((?:[^'()]++|" + _STRING + "|" + _NESTED + r")*+\)"
+#: The next field: from the start or a comma to the next comma outside strings and up to three nested lists.
+_FIELD = r"\G(?:^|,)((?:[^',()]++|" + _STRING + "|" + _DEEP + r")*+)"
+#: Longer bodies go to Python: the JVM's matcher recurses over the parts of a list.
+_NATIVE_CHARS = 2000
+
+
+def split_fields(body: Column | str) -> Column:
+    """split_args for a column; null stays null.
+
+    Bodies of up to _NATIVE_CHARS characters without comments and without deeper lists are split in the JVM, all
+    others by split_args itself: native fields that do not add up to the whole body are not used.
+    """
+    body = F.col(body) if isinstance(body, str) else body
+    length = F.char_length(body)
+    total = lambda f: F.aggregate(f, F.size(f) - 1, lambda n, x: n + F.char_length(x))
+    # transform() over an array of one binds the fields, so that the pattern runs once.
+    checked = F.get(F.transform(F.array(F.regexp_extract_all(body, F.lit(_FIELD), F.lit(1))), lambda f: F.when(total(f) == length, F.transform(f, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))), F.lit(0))
+    native = F.when((length <= _NATIVE_CHARS) & ~F.contains(body, F.lit("/*")) & (F.trim(body) != ""), checked)
+    return F.coalesce(native, _split_slow(F.when(native.isNull(), body)))
+
+
 @F.pandas_udf(StringType())
 def _decode_slow(body: pd.Series) -> pd.Series:
     return body.map(lambda b: None if b is None else decode_text(b))

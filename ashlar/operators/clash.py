@@ -30,9 +30,10 @@ def broad_phase(boxes: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of boxes(id, min_x .. max_z) that meet when each grows by tolerance; touching counts.
 
     A box belongs to the grid whose cells are at least as wide as it is, so it lies in at most eight
-    cells there, and is entered in all coarser grids that exist too. Two boxes are compared in the coarser of their
-    grids, in the one cell that holds the low corner of their common part: no pair comes twice, and one huge
-    box costs no small ones anything. Boxes with a null side are left out.
+    cells there. One side of the join holds each box in its own grid only, the other in all coarser grids that exist
+    too: a pair meets where the larger box lives, in the one cell that holds the low corner of their common part, so
+    none comes twice, and the boxes that share a cell of a huge box's grid are held against that box, never
+    against each other. Boxes with a null side are left out.
     """
     sides = [f"{m}_{x}" for m in ("min", "max") for x in "xyz"]
     grown = boxes.select("id", *[(F.col(s) + (tolerance if s.startswith("max") else -tolerance)).alias(s) for s in sides]).dropna()
@@ -40,16 +41,21 @@ def broad_phase(boxes: DataFrame, tolerance: float = 0.0) -> DataFrame:
     levelled = grown.withColumn("level", F.ceil(F.log2(extent)).cast("int"))
     levels = levelled.agg(F.sort_array(F.collect_set("level")).alias("levels"))  # as many as powers of two between the extents
     entered = levelled.crossJoin(F.broadcast(levels)).withColumn("grid", F.explode(F.filter("levels", lambda g: g >= F.col("level")))).drop("levels")
+
+    def cells(rows: DataFrame) -> DataFrame:
+        width = F.pow(F.lit(2.0), F.col("grid"))
+        for x in "xyz":
+            rows = rows.withColumn(f"c{x}", F.explode(F.sequence(F.floor(F.col(f"min_{x}") / width), F.floor(F.col(f"max_{x}") / width))))
+        return rows
+
+    named = lambda rows, p: rows.select("grid", "cx", "cy", "cz", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "level", *sides)])
+    large, small = named(cells(levelled.withColumn("grid", F.col("level"))), "a"), named(cells(entered), "b")
+    pairs = large.join(small, ["grid", "cx", "cy", "cz"]).where((F.col("b_level") < F.col("a_level")) | ((F.col("b_level") == F.col("a_level")) & (F.col("a_id") < F.col("b_id"))))
     width = F.pow(F.lit(2.0), F.col("grid"))
-    for x in "xyz":
-        entered = entered.withColumn(f"c{x}", F.explode(F.sequence(F.floor(F.col(f"min_{x}") / width), F.floor(F.col(f"max_{x}") / width))))
-    a = entered.select("grid", "cx", "cy", "cz", *[F.col(c).alias(f"a_{c}") for c in ("id", "level", *sides)])
-    b = entered.select("grid", "cx", "cy", "cz", *[F.col(c).alias(f"b_{c}") for c in ("id", "level", *sides)])
-    pairs = a.join(b, ["grid", "cx", "cy", "cz"]).where((F.col("a_id") < F.col("b_id")) & (F.greatest("a_level", "b_level") == F.col("grid")))
     for x in "xyz":
         low = F.greatest(f"a_min_{x}", f"b_min_{x}")
         pairs = pairs.where((F.col(f"a_min_{x}") <= F.col(f"b_max_{x}")) & (F.col(f"b_min_{x}") <= F.col(f"a_max_{x}")) & (F.floor(low / width) == F.col(f"c{x}")))
-    return pairs.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"))
+    return pairs.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"))
 
 
 def class_filter(pairs: DataFrame, include: list[str] | None = None, exclude_self: list[str] | None = None) -> DataFrame:

@@ -2,14 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine gets a temporary one; a cluster raises, as
+    executors there would write where nobody else can read.
+    """
+    conf = spark.sparkContext.getConf()
+    if conf.contains("spark.checkpoint.dir"):
+        return conf.get("spark.checkpoint.dir").rstrip("/")
+    if not conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='ashlar-')}")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the cluster's folder; where none is set (tests), in a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='ashlar-')}")
-    return df.checkpoint()
+    """df written as a table in the shared folder and read back.
+
+    A lost executor then costs a re-read; readers prune columns and know the size, so that small
+    tables are broadcast by Spark's own threshold. Tables go when the process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ashlar-durable/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _written:
+        try:
+            if spark.sparkContext._jsc is None:
+                return
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session has ended already
+            return

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values of take-off and drift; they must agree with published results.
 #: Cosine and sine of 20 degrees as take-off uses them, and steps of a quantised normal.
 TOP, SIDE, STEPS = 0.940, 0.342, 10
 #: Triangles whose doubled area is less are skipped; surfaces of less area are noise.
@@ -14,6 +13,8 @@ DEGENERATE, NOISE = 1e-12, 1e-6
 OPEN_MARGIN, WELD = 1.001, 1e-4
 PRISM_MARGIN, COLLAPSE, SOLID_FLOOR = 1.05, 1e-3, 1e-3
 GRID = 256
+#: Drift: metres that are no drift, extents that are ok and that are a warning; rows and share of errors of a baked model.
+NO_DRIFT, OK_RATIO, WARN_RATIO, BAKED_ROWS, BAKED_SHARE = 0.010, 2.0, 10.0, 20, 0.25
 
 
 def bounds(meshes: DataFrame) -> DataFrame:
@@ -81,11 +82,16 @@ def closed(tris: DataFrame) -> DataFrame:
 
 
 def welded(meshes: DataFrame, cell: float = WELD) -> DataFrame:
-    """meshes whose indices name the first vertex of each grid cell, within the row."""
-    n = (F.size("vertices") / 3).cast("int")
-    key = lambda i: F.concat_ws(",", *[F.floor(F.get("vertices", (i * 3 + k).cast("int")) / cell + 0.5).cast("string") for k in range(3)])
-    keys = F.transform(F.sequence(F.lit(0), n - 1), key)
-    return meshes.withColumn("_keys", keys).withColumn("indices", F.transform("indices", lambda i: F.array_position("_keys", F.get("_keys", i.cast("int"))) - 1)).drop("_keys")
+    """meshes(guid, vertices, indices, ..) whose indices name the first vertex of each grid cell.
+
+    Vertices are dealt out by mesh and cell, so the work follows their number; a mesh's map comes back as one array.
+    """
+    place = lambda k: F.floor(F.element_at("vertices", F.col("i") * 3 + k + 1) / cell + 0.5).alias(f"c{k}")
+    known = meshes.where(F.size("vertices") >= 3)
+    points = known.select("guid", "vertices", F.explode(F.sequence(F.lit(0), (F.size("vertices") / 3 - 1).cast("int"))).alias("i")).select("guid", "i", *[place(k) for k in range(3)])
+    first = points.withColumn("to", F.min("i").over(Window.partitionBy("guid", "c0", "c1", "c2")))
+    maps = first.groupBy("guid").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "to"))), lambda s: s["to"].cast("bigint")).alias("_to"))
+    return known.join(maps, "guid").withColumn("indices", F.transform("indices", lambda i: F.get("_to", i.cast("int")))).select(*meshes.columns)
 
 
 def quality(meshes: DataFrame) -> DataFrame:
@@ -152,12 +158,12 @@ def drift(boxes: DataFrame) -> DataFrame:
 
 def severity(distance: Column, ratio: Column) -> Column:
     """ok within 10 mm or twice the extent, warn within ten times, else error."""
-    return F.when((distance < 0.010) | (ratio <= 2.0), "ok").when(ratio <= 10.0, "warn").otherwise("error")
+    return F.when((distance < NO_DRIFT) | (ratio <= OK_RATIO), "ok").when(ratio <= WARN_RATIO, "warn").otherwise("error")
 
 
 def world_baked(rows: DataFrame) -> DataFrame:
     """One row, baked: at least 20 rows and a quarter of them errors."""
-    return rows.agg(((F.count("*") >= 20) & (F.count_if(F.col("severity") == "error") >= 0.25 * F.count("*"))).alias("baked"))
+    return rows.agg(((F.count("*") >= BAKED_ROWS) & (F.count_if(F.col("severity") == "error") >= BAKED_SHARE * F.count("*"))).alias("baked"))
 
 
 def demoted(rows: DataFrame) -> DataFrame:
@@ -174,15 +180,24 @@ def severity_histogram(rows: DataFrame) -> DataFrame:
 
 
 def point_cloud(tris: DataFrame, per_m2: float = 1000.0, seed: int = 42) -> DataFrame:
-    """(guid, tri, k, x, y, z): about per_m2 points a square metre, spread evenly over each triangle.
+    """(guid, tri, k, x, y, z): ceil(per_m2 * area) points a mesh, spread evenly over its triangles.
 
-    Each triangle gets the whole part of its share and, by a hash, one more with the chance of the rest;
-    a point's place comes from hashes of (seed, guid, triangle, k), so the cloud is the same on every run.
+    The points of a mesh are the steps of an even ladder over its cumulative area, from a start drawn by hash,
+    so each triangle gets its share to within one. A point's place comes from hashes of (seed, guid, triangle, k):
+    the cloud is the same on every run. Coordinates are relative to the mesh's first vertex, as in triangles().
     """
     unit = lambda *parts: F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 30)) / float(1 << 30)
-    share = F.col("mag") / 2 * per_m2
-    n = (F.floor(share) + F.when(unit(F.lit("n"), "guid", "tri") < share - F.floor(share), 1).otherwise(0)).cast("int")
-    k = tris.withColumn("n", n).where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    solid = tris.where(F.col("mag") > 0).withColumn("area", F.col("mag") / 2)
+    whole = Window.partitionBy("guid")
+    so_far = whole.orderBy("tri").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = solid.withColumns({"total": F.sum("area").over(whole), "top": F.sum("area").over(so_far), "last": F.max("tri").over(whole)})
+    ranked = ranked.withColumn("points", F.ceil(F.col("total") * per_m2))
+    # Step j of the ladder lies at (j + start) / points of the area; the last triangle takes what rounding leaves.
+    upto = lambda area: F.greatest(F.lit(0), F.least(F.col("points"), F.ceil(area / F.col("total") * F.col("points") - unit(F.lit("start"), "guid"))))
+    high = F.when(F.col("tri") == F.col("last"), F.col("points")).otherwise(upto(F.col("top")))
+    low = F.coalesce(F.lag("high").over(whole.orderBy("tri")), F.lit(0))
+    counted = ranked.withColumn("high", high).withColumn("n", (F.col("high") - low).cast("int")).where("n > 0")
+    k = counted.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     r1, r2 = F.sqrt(unit(F.lit("u"), "guid", "tri", "k")), unit(F.lit("v"), "guid", "tri", "k")
     mix = lambda x: (1 - r1) * F.col(f"a{x}") + r1 * (1 - r2) * F.col(f"b{x}") + r1 * r2 * F.col(f"c{x}")
     return k.select("guid", "tri", "k", *[mix(x).alias(x) for x in "xyz"])
@@ -194,9 +209,3 @@ def box_mesh(dx: float, dy: float, dz: float, at: tuple[float, float, float] = (
     corners = [(x + i * dx, y + j * dy, z + k * dz) for k in (0, 1) for j in (0, 1) for i in (0, 1)]
     faces = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
     return [c for p in corners for c in p], [i for a, b, c, d in faces for i in (a, b, c, a, c, d)]
-
-
-def length_scale(prefix: str | None) -> float:
-    """Metres for an SI prefix of the metre."""
-    powers = dict(zip("EXA PETA TERA GIGA MEGA KILO HECTO DECA DECI CENTI MILLI MICRO NANO PICO FEMTO ATTO".split(), (18, 15, 12, 9, 6, 3, 2, 1, -1, -2, -3, -6, -9, -12, -15, -18), strict=True))
-    return math.pow(10, powers[prefix]) if prefix else 1.0

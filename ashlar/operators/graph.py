@@ -13,13 +13,18 @@ from .durable import durable
 WALK_LIMIT = 16
 
 
+def _order(edges: DataFrame) -> Column:
+    """The place of an edge in its file; 0 for edge tables without ord, where the larger guid counts as later."""
+    return F.col("ord") if "ord" in edges.columns else F.lit(0).cast("long")
+
+
 def parents(aggregates: DataFrame, contained_in: DataFrame) -> DataFrame:
-    """(guid, parent_guid): the aggregate parent, else the container; of several the largest guid.
+    """(guid, parent_guid): the aggregate parent, else the container; of several the last edge's.
 
-    Edge tables have no order, so the largest guid stands in for the last edge.
+    Edges may carry ord; see _order().
     """
-    up = aggregates.select(F.col("child_guid").alias("guid"), F.struct(F.lit(1).alias("rank"), F.col("parent_guid").alias("parent_guid")).alias("edge"))
-    box = contained_in.select(F.col("product_guid").alias("guid"), F.struct(F.lit(0).alias("rank"), F.col("container_guid").alias("parent_guid")).alias("edge"))
+    up = aggregates.select(F.col("child_guid").alias("guid"), F.struct(F.lit(1).alias("rank"), _order(aggregates).alias("ord"), F.col("parent_guid").alias("parent_guid")).alias("edge"))
+    box = contained_in.select(F.col("product_guid").alias("guid"), F.struct(F.lit(0).alias("rank"), _order(contained_in).alias("ord"), F.col("container_guid").alias("parent_guid")).alias("edge"))
     return up.union(box).groupBy("guid").agg(F.max("edge")["parent_guid"].alias("parent_guid"))
 
 
@@ -30,25 +35,24 @@ def children(aggregates: DataFrame, contained_in: DataFrame) -> DataFrame:
     return box.union(part).groupBy("parent_guid", "child_guid").agg(F.min("rank").alias("rank")).select("parent_guid", "child_guid", F.when(F.col("rank") == 0, "contained").otherwise("aggregated").alias("via"))
 
 
-def reach(edges: DataFrame, limit: int = 64) -> DataFrame:
+def reach(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): every node that edges(src, dst) reach from each source, at its least depth.
 
     One join a level, each level cut from its lineage; pairs seen before are not followed again, so
-    cycles end and a start never reaches itself.
+    cycles end and a start never reaches itself. Goes on until a level finds nothing new.
     """
     step = durable(edges.where("src <> dst").select("src", "dst").distinct())
     levels = [step.withColumn("depth", F.lit(1))]
     frontier = step
     seen = step
     hop = step.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
-    for depth in range(2, limit + 1):
+    while True:
         ahead = frontier.join(hop, frontier.dst == hop.mid).select("src", F.col("next").alias("dst")).where("src <> dst").distinct()
         frontier = durable(ahead.join(seen, ["src", "dst"], "left_anti"))
         if frontier.isEmpty():
-            break
-        levels.append(frontier.withColumn("depth", F.lit(depth)))
+            return reduce(DataFrame.union, levels)
+        levels.append(frontier.withColumn("depth", F.lit(len(levels) + 1)))
         seen = seen.union(frontier)
-    return reduce(DataFrame.union, levels)
 
 
 def ancestors(parent_of: DataFrame) -> DataFrame:
@@ -65,25 +69,31 @@ def descendants(child_edges: DataFrame) -> DataFrame:
 
 def next_hop(aggregates: DataFrame, contained_in: DataFrame) -> DataFrame:
     """(guid, hop): where a walk goes from a node: a storey container, another container, the aggregate parent."""
-    up = aggregates.select(F.col("child_guid").alias("guid"), F.struct(F.lit(0).alias("rank"), F.col("parent_guid").alias("hop")).alias("edge"))
-    box = contained_in.select(F.col("product_guid").alias("guid"), F.struct(F.when(F.col("container_kind") == "storey", 2).otherwise(1).alias("rank"), F.col("container_guid").alias("hop")).alias("edge"))
+    up = aggregates.select(F.col("child_guid").alias("guid"), F.struct(F.lit(0).alias("rank"), _order(aggregates).alias("ord"), F.col("parent_guid").alias("hop")).alias("edge"))
+    box = contained_in.select(F.col("product_guid").alias("guid"), F.struct(F.when(F.col("container_kind") == "storey", 2).otherwise(1).alias("rank"), _order(contained_in).alias("ord"), F.col("container_guid").alias("hop")).alias("edge"))
     return up.union(box).groupBy("guid").agg(F.max("edge")["hop"].alias("hop"))
 
 
 def first_above(nodes: DataFrame, hops: DataFrame, wanted: DataFrame, limit: int = WALK_LIMIT) -> DataFrame:
-    """(guid, found): the first node of wanted(guid) on each node's walk along hops, null if there is none."""
-    marks = wanted.select(F.col("guid").alias("mark")).distinct()
-    hops = durable(hops)
-    here = nodes.select("guid").distinct().withColumn("at", F.col("guid"))
-    done: list[DataFrame] = []
-    for _ in range(limit):
-        moved = here.join(hops.withColumnRenamed("guid", "at"), "at").select("guid", F.col("hop").alias("at")).where("at IS NOT NULL")
+    """(guid, found): the first node of wanted(guid) on each node's walk along hops, null if there is none.
+
+    Only nodes that hold others are walked, one join a level; what they find is then handed down to the many
+    that they hold by a single join.
+    """
+    marks = durable(wanted.select(F.col("guid").alias("mark")).distinct())
+    hops = durable(hops.where("hop IS NOT NULL").select("guid", "hop"))
+    holders = durable(hops.select(F.col("hop").alias("guid")).distinct().join(marks, F.col("guid") == F.col("mark"), "left"))
+    done = [holders.where("mark IS NOT NULL").select(F.col("guid").alias("hop"), F.col("guid").alias("found"))]
+    here = holders.where("mark IS NULL").select("guid", F.col("guid").alias("at"))
+    for _ in range(limit - 1):
+        moved = here.join(hops.withColumnRenamed("guid", "at"), "at").select("guid", F.col("hop").alias("at"))
         marked = durable(moved.join(marks, F.col("at") == F.col("mark"), "left"))
-        done.append(marked.where("mark IS NOT NULL").select("guid", F.col("at").alias("found")))
+        done.append(marked.where("mark IS NOT NULL").select(F.col("guid").alias("hop"), F.col("at").alias("found")))
         here = marked.where("mark IS NULL").select("guid", "at")
         if here.isEmpty():
             break
-    return nodes.select("guid").distinct().join(reduce(DataFrame.union, done), "guid", "left").select("guid", "found")
+    answers = reduce(DataFrame.union, done)
+    return nodes.select("guid").distinct().join(hops.join(answers, "hop").select("guid", "found"), "guid", "left").select("guid", "found")
 
 
 def storey_of(products: DataFrame, aggregates: DataFrame, contained_in: DataFrame, storeys: DataFrame) -> DataFrame:
@@ -105,17 +115,31 @@ def products_in(down: DataFrame, products: DataFrame) -> DataFrame:
     return down.join(products.select(F.col("guid").alias("descendant_guid")), "descendant_guid", "left_semi").select("guid", "descendant_guid", "depth")
 
 
-def reachable(starts: DataFrame, edges: DataFrame, limit: int = 256) -> DataFrame:
-    """(node): starts(node) and all that edges(src, dst) lead to, by frontiers."""
-    seen = durable(starts.select("node").distinct())
-    frontier = seen
-    for _ in range(limit):
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): starts(node) and all that edges(src, dst) lead to, frontier by frontier until one is empty.
+
+    Each frontier is written once; what was seen before is the union of them.
+    """
+    seen = frontier = durable(starts.select("node").distinct())
+    while True:
         ahead = edges.join(frontier, edges.src == frontier.node, "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = durable(ahead.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
-            break
-        seen = durable(seen.union(frontier))
-    return seen
+            return seen
+        seen = seen.union(frontier)
+
+
+def reach_from(start: str, edges: DataFrame) -> DataFrame:
+    """(src, dst, depth): reach() from one node alone, whose frontier is all that is joined."""
+    spark = edges.sparkSession
+    seen = frontier = durable(spark.createDataFrame([(start, 0)], "dst string, depth int"))
+    while True:
+        here = frontier.select(F.col("dst").alias("node"), "depth")
+        ahead = edges.join(here, F.col("src") == F.col("node")).select("dst", (F.col("depth") + 1).alias("depth")).distinct()
+        frontier = durable(ahead.join(seen.select("dst"), "dst", "left_anti"))
+        if frontier.isEmpty():
+            return seen.where("depth > 0").select(F.lit(start).alias("src"), "dst", "depth")
+        seen = seen.union(frontier)
 
 
 def chain_end(links: DataFrame, ends: DataFrame, limit: int = 32) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import classes
 from ..functions import step_text as step
+from ..functions.units import SI_POWERS
 from . import facts, graph
 
+# Classes and kinds of the public schemas.
 #: Products whose predefined type IFC2X3 does not have.
 NO_PREDEFINED_2X3 = ("IFCWALL", "IFCWALLSTANDARDCASE", "IFCBEAM", "IFCCOLUMN", "IFCPLATE", "IFCMEMBER")
 #: Doors and windows name other enumerations after theirs.
@@ -20,7 +22,6 @@ SPATIAL = {"IFCPROJECT": "project", "IFCSITE": "site", "IFCBUILDING": "building"
 SIMPLE_VALUES = "IFCPROPERTYSINGLEVALUE IFCPROPERTYENUMERATEDVALUE IFCPROPERTYLISTVALUE IFCPROPERTYBOUNDEDVALUE IFCPROPERTYTABLEVALUE".split()
 QUANTITY_KINDS = {"IFCQUANTITYLENGTH": "Length", "IFCQUANTITYAREA": "Area", "IFCQUANTITYVOLUME": "Volume", "IFCQUANTITYCOUNT": "Count", "IFCQUANTITYWEIGHT": "Weight", "IFCQUANTITYTIME": "Time"}
 UNIT_KINDS = {"LENGTHUNIT": "Length", "AREAUNIT": "Area", "VOLUMEUNIT": "Volume", "MASSUNIT": "Weight", "TIMEUNIT": "Time"}
-SI_POWERS = dict(zip("EXA PETA TERA GIGA MEGA KILO HECTO DECA DECI CENTI MILLI MICRO NANO PICO FEMTO ATTO".split(), (18, 15, 12, 9, 6, 3, 2, 1, -1, -2, -3, -6, -9, -12, -15, -18), strict=True))
 
 
 def _f(i: int) -> Column:
@@ -90,8 +91,8 @@ class Tables:
         return spatial.unionByName(rest)
 
     def _edges(self, name: str, one: int, many: int) -> DataFrame:
-        """(one_id, many_id) of a relationship's single and listed side."""
-        return self.of(name).select(step.ref(_f(one)).alias("one_id"), F.explode(step.refs(_f(many))).alias("many_id"))
+        """(ord, one_id, many_id) of a relationship's single and listed side."""
+        return self.of(name).select("ord", step.ref(_f(one)).alias("one_id"), F.explode(step.refs(_f(many))).alias("many_id"))
 
     def _resolved(self, edges: DataFrame) -> DataFrame:
         k = self.kinds()
@@ -100,13 +101,21 @@ class Tables:
         return edges.join(one, "one_id").join(many, "many_id")
 
     @kept
+    def aggregate_edges(self) -> DataFrame:
+        """aggregates() with ord, the place of the relationship in the file."""
+        return self._resolved(self._edges("IFCRELAGGREGATES", 4, 5)).select(F.col("many_guid").alias("child_guid"), F.col("one_guid").alias("parent_guid"), F.col("one_kind").alias("parent_kind"), "ord")
+
     def aggregates(self) -> DataFrame:
-        return self._resolved(self._edges("IFCRELAGGREGATES", 4, 5)).select(F.col("many_guid").alias("child_guid"), F.col("one_guid").alias("parent_guid"), F.col("one_kind").alias("parent_kind"))
+        return self.aggregate_edges().drop("ord")
 
     @kept
-    def contained_in(self) -> DataFrame:
+    def containment_edges(self) -> DataFrame:
+        """contained_in() with ord, the place of the relationship in the file."""
         rows = self._resolved(self._edges("IFCRELCONTAINEDINSPATIALSTRUCTURE", 5, 4)).where("one_kind <> 'product' AND many_kind IN ('product', 'space')")
-        return rows.select(F.col("many_guid").alias("product_guid"), F.col("one_guid").alias("container_guid"), F.col("one_kind").alias("container_kind"))
+        return rows.select(F.col("many_guid").alias("product_guid"), F.col("one_guid").alias("container_guid"), F.col("one_kind").alias("container_kind"), "ord")
+
+    def contained_in(self) -> DataFrame:
+        return self.containment_edges().drop("ord")
 
     @kept
     def storey_building(self) -> DataFrame:
@@ -135,8 +144,8 @@ class Tables:
     def denormalised(self) -> DataFrame:
         """products with storey, parent and type columns, one row a guid."""
         p = graph.last_by(self.products(), ["guid"], [F.desc("ord")])
-        up = graph.parents(self.aggregates(), self.contained_in())
-        at = graph.storey_of(p, self.aggregates(), self.contained_in(), self.storeys())
+        up = graph.parents(self.aggregate_edges(), self.containment_edges())
+        at = graph.storey_of(p, self.aggregate_edges(), self.containment_edges(), self.storeys())
         named = self.storeys().select(F.col("guid").alias("storey_guid"), F.col("name").alias("storey_name"))
         out = p.join(at, "guid", "left").join(named, "storey_guid", "left").join(up, "guid", "left").join(self.type_of(), "guid", "left")
         source = F.when(F.col("type_guid").isNotNull(), "ifctype").when(F.col("object_type").isNotNull(), "objecttype").otherwise("none")

@@ -4,30 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import step_text as step
 from ..functions.solids import Items
-from .graph import durable
+from .durable import durable
+from . import geometry
 from .index import Tables
 
 #: References into these types are not followed from geometry.
 _OUTSIDE = "IFCOWNERHISTORY|IFCGEOMETRICREPRESENTATIONCONTEXT|IFCGEOMETRICREPRESENTATIONSUBCONTEXT|IFCSTYLEDITEM|IFCPRESENTATION.*"
 
 
-def _owned(tables: Tables, roots: DataFrame, limit: int = 64) -> DataFrame:
+def _owned(tables: Tables, roots: DataFrame) -> DataFrame:
     """(root, step_id, type, args): each root's record and all that it refers to, level by level."""
     records = tables.records.where(~F.col("type").rlike(f"^({_OUTSIDE}|IFCREL.*)$"))
     refs = durable(records.select(F.col("step_id").alias("src"), F.explode(step.all_refs(F.col("args"))).alias("dst")).distinct())
     here = durable(roots.select("root", F.col("root").alias("step_id")).distinct())
     seen = here
-    for _ in range(limit):
+    while True:
         ahead = here.join(refs, here.step_id == refs.src).select("root", F.col("dst").alias("step_id")).distinct()
         here = durable(ahead.join(seen, ["root", "step_id"], "left_anti"))
         if here.isEmpty():
             break
-        seen = durable(seen.union(here))
+        seen = seen.union(here)
     return seen.join(records.select("step_id", "type", "args"), "step_id").select("root", "step_id", "type", "args")
 
 
@@ -73,14 +74,14 @@ def placements(tables: Tables) -> DataFrame:
 
 
 def product_meshes(tables: Tables, space: str = "world") -> DataFrame:
-    """(guid, entity, place, item_id, source, vertices, indices) of every fragment of every product.
+    """(guid, entity, place, item_id, fragment, source, vertices, indices) of every fragment of every product.
 
     space is world, local (the product's own frame) or item. Matrices are applied in the JVM, row by row.
     """
     items = body_items(tables)
     shaped = items.where("item_id IS NOT NULL").join(item_meshes(tables, items), "item_id")
     if space in ("item", "local"):
-        return shaped.select("guid", "entity", "place", "item_id", "source", "vertices", "indices")
+        return shaped.select("guid", "entity", "place", "item_id", "fragment", "source", "vertices", "indices")
     if space != "world":
         raise ValueError(f"unknown space {space!r}")
     at = tables.products().select("guid", "placement_id").join(placements(tables), "placement_id", "left").select("guid", "matrix")
@@ -90,15 +91,42 @@ def product_meshes(tables: Tables, space: str = "world") -> DataFrame:
     point = lambda i: F.array(*[F.get("m", F.lit(4 * r)) * v(i, 0) + F.get("m", F.lit(4 * r + 1)) * v(i, 1) + F.get("m", F.lit(4 * r + 2)) * v(i, 2) + F.get("m", F.lit(4 * r + 3)) for r in range(3)])
     joined = shaped.join(at, "guid", "left").withColumn("m", one)
     put = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), point))).otherwise(F.col("vertices"))
-    return joined.select("guid", "entity", "place", "item_id", "source", put.alias("vertices"), "indices")
+    return joined.select("guid", "entity", "place", "item_id", "fragment", "source", put.alias("vertices"), "indices")
 
 
 def merged(fragments: DataFrame) -> DataFrame:
-    """(guid, vertices, indices): one mesh a product, from its fragments in order."""
-    rows = fragments.groupBy("guid").agg(F.sort_array(F.collect_list(F.struct("place", "source", "vertices", "indices"))).alias("parts"))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("out"))
-    step_ = lambda acc, p: F.struct((acc["n"] + (F.size(p["vertices"]) / 3).cast("bigint")).alias("n"), F.concat(acc["out"], F.transform(p["indices"], lambda i: i + acc["n"])).alias("out"))
-    return rows.select("guid", F.flatten(F.transform("parts", lambda p: p["vertices"])).alias("vertices"), F.aggregate("parts", start, step_, lambda acc: acc["out"]).alias("indices"))
+    """(guid, vertices, indices, segments): one mesh a product, from its fragments in order of place, fragment and source.
+
+    segments holds (segment_index, source, index_start, triangle_count) of each part. Offsets are running sums over
+    the parts, so a product of many parts costs no more than their length.
+    """
+    n = (F.size("vertices") / 3).cast("long")
+    order = [c for c in ("place", "fragment", "source", "item_id") if c in fragments.columns]
+    before = Window.partitionBy("guid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    first = lambda size: F.coalesce(F.sum(size).over(before), F.lit(0))
+    rows = fragments.withColumns({"base": first(n), "index_start": first(F.size("indices").cast("long")), "segment_index": F.row_number().over(Window.partitionBy("guid").orderBy(*order)) - 1})
+    part = F.struct("segment_index", "source", "index_start", (F.size("indices") / 3).cast("long").alias("triangle_count"), "vertices", F.transform("indices", lambda i: i + F.col("base")).alias("indices"))
+    rows = rows.groupBy("guid").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return rows.select(
+        "guid", F.flatten(F.transform("parts", lambda p: p["vertices"])).alias("vertices"), F.flatten(F.transform("parts", lambda p: p["indices"])).alias("indices"),
+        F.transform("parts", lambda p: F.struct(p["segment_index"].alias("segment_index"), p["source"].alias("source"), p["index_start"].alias("index_start"), p["triangle_count"].alias("triangle_count"))).alias("segments"),
+    )
+
+
+def segments(whole: DataFrame) -> DataFrame:
+    """(guid, segment_index, source, index_start, triangle_count) of merged() meshes."""
+    return whole.select("guid", F.explode("segments").alias("s")).select("guid", "s.segment_index", "s.source", "s.index_start", "s.triangle_count")
+
+
+def by_source(fragments: DataFrame) -> DataFrame:
+    """(source, fragments, products, triangles) of each provenance."""
+    return fragments.groupBy("source").agg(F.count("*").alias("fragments"), F.count_distinct("guid").alias("products"), F.sum((F.size("indices") / 3).cast("long")).alias("triangles"))
+
+
+def drift_report(tables: Tables, fragments: DataFrame) -> DataFrame:
+    """Boxes of merged world meshes with their distance from the product's placement; see geometry.drift()."""
+    at = tables.products().select("guid", "placement_id").join(placements(tables), "placement_id").select("guid", *[F.get("matrix", F.lit(4 * i + 3)).alias(f"placement_{x}") for i, x in enumerate("xyz")])
+    return geometry.drift(geometry.bounds(merged(fragments)).join(at, "guid"))
 
 
 def obj_text(meshes: DataFrame) -> DataFrame:

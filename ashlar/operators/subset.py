@@ -42,19 +42,18 @@ def prune_anchors(rels: DataFrame, kept: DataFrame) -> DataFrame:
     return rels.join(kept.select(F.col("node").alias("anchor")), "anchor", "left_semi")
 
 
-def orphans(refs: DataFrame, gone: DataFrame, limit: int = 64) -> DataFrame:
+def orphans(refs: DataFrame, gone: DataFrame) -> DataFrame:
     """(node): what only gone(node) and orphans of theirs refer to, in refs(src, dst), to a fixpoint."""
     dead = durable(gone.select("node").distinct())
-    found = None
-    for _ in range(limit):
+    found = dead.where(F.lit(False))
+    while True:
         mine = refs.join(dead, refs.src == dead.node, "left_semi").select(F.col("dst").alias("node")).distinct()
         alive = refs.join(dead, refs.src == dead.node, "left_anti").select(F.col("dst").alias("node")).distinct()
         fresh = durable(mine.join(alive, "node", "left_anti").join(dead, "node", "left_anti"))
         if fresh.isEmpty():
-            break
-        found = fresh if found is None else found.union(fresh)
+            return found
+        found = found.union(fresh)
         dead = durable(dead.union(fresh))
-    return found if found is not None else dead.where(F.lit(False))
 
 
 def resolve(records: DataFrame, guids: list[str]) -> DataFrame:
@@ -96,7 +95,7 @@ def splice(raw: pd.Series, position: pd.Series, keep: pd.Series) -> pd.Series:
     return pd.Series([one(t, int(p), list(k)) for t, p, k in zip(raw, position, keep, strict=True)])
 
 
-def subset(records: DataFrame, guids: list[str], limit: int = 32) -> DataFrame:
+def subset(records: DataFrame, guids: list[str]) -> DataFrame:
     """records(ord, step_id, type, args, raw) that the given items need, with relationship lists cut down.
 
     Starts from the items, closes over forward references, then keeps each relationship any of whose
@@ -112,7 +111,7 @@ def subset(records: DataFrame, guids: list[str], limit: int = 32) -> DataFrame:
     forward = refs.join(is_rel, F.col("src") == F.col("node"), "left_anti").select("src", "dst")
     keep = reachable(resolve(records, guids).union(records.where("type = 'IFCPROJECT'").select("step_id")), forward)
     size = keep.count()
-    for _ in range(limit):
+    while True:
         live = rels.join(keep, F.col("anchor_id") == F.col("node"), "left_semi")
         pulled = live.select(F.explode(F.array_union("pulled", "others")).alias("node")).distinct()
         keep = reachable(keep.union(pulled).distinct(), forward)

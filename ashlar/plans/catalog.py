@@ -1,7 +1,6 @@
-"""The engine's own queries and their SQL."""
+"""All queries of the engine and the SQL that states them."""
 
-from __future__ import annotations
+from . import queries, shape_model, step_model
 
-from .queries import QUERIES, SQL
-
-__all__ = ["QUERIES", "SQL"]
+QUERIES = queries.QUERIES | step_model.QUERIES | shape_model.QUERIES
+SQL = queries.SQL | step_model.SQL | shape_model.SQL

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes
 from ..functions import step_text as step
+from ..functions import units
 from ..operators import clash, facts, geometry, graph, summaries
 from .star_model import MODEL_SQL, StarModel
 
@@ -132,6 +133,7 @@ def _storey_of(m: StarModel) -> DataFrame:
 
 @query(_WALK + "SELECT guid, storey_guid FROM product_storey")
 def q_storey_of(m: StarModel) -> DataFrame:
+    m.staged()
     return _storey_of(m)
 
 
@@ -151,22 +153,26 @@ _REACH = ", reach AS (SELECT child, parent, 1 AS depth FROM ups UNION ALL SELECT
 
 @query(_REACH + "SELECT child AS guid, parent AS ancestor_guid, CAST(depth AS INTEGER) AS depth FROM reach")
 def q_ancestors(m: StarModel) -> DataFrame:
+    m.staged()
     return graph.ancestors(graph.parents(m.aggregates(), m.contained_in()))
 
 
 @query(_REACH + "SELECT parent AS guid, child AS descendant_guid, CAST(depth AS INTEGER) AS depth FROM reach")
 def q_descendants(m: StarModel) -> DataFrame:
+    m.staged()
     return graph.descendants(graph.children(m.aggregates(), m.contained_in()))
 
 
 @query(_REACH + "SELECT parent AS guid, count(*) AS n, CAST(max(depth) AS INTEGER) AS deepest FROM reach WHERE child IN (SELECT guid FROM products) GROUP BY parent")
 def q_products_in(m: StarModel) -> DataFrame:
+    m.staged()
     down = graph.descendants(graph.children(m.aggregates(), m.contained_in()))
     return graph.products_in(down, m.products()).groupBy("guid").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
 @query(_REACH + "SELECT p.guid, f.building_guid FROM products p LEFT JOIN (SELECT child, arg_min(parent, depth) AS building_guid FROM reach WHERE parent LIKE 'N%' GROUP BY child) f ON f.child = p.guid")
 def q_building_of(m: StarModel) -> DataFrame:
+    m.staged()
     buildings = m.raw("nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("guid"))
     return graph.building_of(m.products(), m.aggregates(), m.contained_in(), m.storey_building(), buildings)
 
@@ -175,9 +181,9 @@ def q_building_of(m: StarModel) -> DataFrame:
   CASE WHEN t.guid IS NOT NULL THEN 'ifctype' WHEN p.object_type IS NOT NULL THEN 'objecttype' ELSE 'none' END AS type_source
 FROM products p JOIN product_storey ps ON ps.guid = p.guid LEFT JOIN storeys s ON s.guid = ps.storey_guid LEFT JOIN types t ON t.guid = p.type_guid""")
 def q_products_denorm(m: StarModel) -> DataFrame:
+    m.staged()
     named = m.storeys().select(F.col("guid").alias("storey_guid"), F.col("name").alias("storey_name"))
-    typed = _linked(m).select("guid", "type_name", "type_source")
-    whole = m.products().join(_storey_of(m), "guid").join(named, "storey_guid", "left").join(typed, "guid")
+    whole = _linked(m).join(_storey_of(m), "guid").join(named, "storey_guid", "left")
     return whole.select("guid", "entity", "name", classes.mode_column(F.col("entity")).alias("mode"), "storey_guid", "storey_name", "type_guid", "type_name", "type_source")
 
 
@@ -194,6 +200,7 @@ def q_type_linkage(m: StarModel) -> DataFrame:
 
 @query(_WALK + "SELECT p.guid, p.step_id, p.name, ps.storey_guid, s.name AS storey_name FROM products p JOIN product_storey ps ON ps.guid = p.guid LEFT JOIN storeys s ON s.guid = ps.storey_guid WHERE p.entity = 'IfcSpace'")
 def q_spaces_enriched(m: StarModel) -> DataFrame:
+    m.staged()
     spaces = m.products().where("entity = 'IfcSpace'")
     found = graph.storey_of(spaces, m.aggregates(), m.contained_in(), m.storeys())
     named = m.storeys().select(F.col("guid").alias("storey_guid"), F.col("name").alias("storey_name"))
@@ -215,7 +222,9 @@ def q_storey_building(m: StarModel) -> DataFrame:
     return m.storey_building()
 
 
-@query("SELECT opening_guid, host_guid FROM voids WHERE opening_guid IN (SELECT guid FROM products) AND host_guid IN (SELECT guid FROM products)")
+@query("""SELECT concat('L', l_orderkey, '-', l_linenumber) AS opening_guid, concat('O', l_orderkey) AS host_guid FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_shipdate DESC) AS k FROM lineitem)
+WHERE k = 1 AND l_returnflag = 'N' AND l_linestatus = 'O' AND l_orderkey IN (SELECT o_orderkey FROM orders)""", model=False)
 def q_voids(m: StarModel) -> DataFrame:
     known = m.products().select("guid")
     return m.voids().join(known.withColumnRenamed("guid", "opening_guid"), "opening_guid", "left_semi").join(known.withColumnRenamed("guid", "host_guid"), "host_guid", "left_semi").select("opening_guid", "host_guid")
@@ -256,6 +265,7 @@ WHERE p.guid IN (SELECT guid FROM psets WHERE prop_name = 'IsExternal' AND value
 
 @query(_FILTER_SQL)
 def q_pset_filter_by_storey(m: StarModel) -> DataFrame:
+    m.staged()
     wanted = [("Pset_Common", "IsExternal", "True"), ("Pset_Common", "LoadBearing", "True")]
     hits = m.products()
     return facts.storey_counts(_psets(m), wanted, hits, _storey_of(m))
@@ -315,10 +325,10 @@ def q_value_format(m: StarModel) -> DataFrame:
     )
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 WHEN 2 THEN 1000.0 ELSE 1.0 END * p_size AS metres FROM part""", model=False)
+@query("""SELECT p_partkey, CAST(CASE p_size % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.01 WHEN 2 THEN 1000.0 ELSE 1.0 END AS DOUBLE) * p_size AS metres FROM part""", model=False)
 def q_unit_scale(m: StarModel) -> DataFrame:
     prefix = F.element_at(F.array(F.lit("MILLI"), F.lit("CENTI"), F.lit("KILO"), F.lit(None)), (F.col("p_size") % 4 + 1).cast("int"))
-    table = F.create_map(*[x for p in ("MILLI", "CENTI", "KILO") for x in (F.lit(p), F.lit(geometry.length_scale(p)))])
+    table = F.create_map(*[x for p in ("MILLI", "CENTI", "KILO") for x in (F.lit(p), F.lit(units.length_scale(p)))])
     return m.raw("part").select("p_partkey", (F.coalesce(F.element_at(table, F.coalesce(prefix, F.lit("NONE"))), F.lit(1.0)) * F.col("p_size")).alias("metres"))
 
 
@@ -424,6 +434,7 @@ def q_topk_complex(m: StarModel) -> DataFrame:
 @query("""SELECT 'products' AS part, count(*) AS n FROM products UNION ALL SELECT 'storeys', count(*) FROM storeys UNION ALL SELECT 'aggregates', count(*) FROM aggregates UNION ALL SELECT 'contained_in', count(*) FROM contained_in UNION ALL SELECT 'psets', count(*) FROM psets UNION ALL SELECT 'quantities', count(*) FROM quantities
 UNION ALL SELECT concat('type:', entity), n FROM (SELECT entity, count(*) AS n FROM products GROUP BY entity ORDER BY n DESC, entity LIMIT 20)""")
 def q_summary(m: StarModel) -> DataFrame:
+    m.staged()
     shape = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
     parts = [("products", m.products()), ("storeys", m.storeys()), ("aggregates", m.aggregates()), ("contained_in", m.contained_in()), ("psets", _psets(m)), ("quantities", _quantities(m))]
     top = summaries.entity_counts(m.products()).orderBy(F.desc("n"), "entity").limit(20).select(F.concat(F.lit("type:"), "entity").alias("part"), "n")
@@ -499,13 +510,22 @@ def q_clash_categories(m: StarModel) -> DataFrame:
     return kept.withColumn("category", clash.category(F.col("class_a"), F.col("class_b"))).groupBy("category", "class_a", "class_b").agg(F.count("*").alias("n"))
 
 
-@query()
+_APART_SQL = ", ".join(f"greatest(a.{x} - a.h{x} - (b.{x} + b.h{x}), b.{x} - b.h{x} - (a.{x} + a.h{x})) AS g{x}, least(b.{x} + b.h{x} - (a.{x} + a.h{x}), a.{x} - a.h{x} - (b.{x} - b.h{x})) AS ina{x}, least(a.{x} + a.h{x} - (b.{x} + b.h{x}), b.{x} - b.h{x} - (a.{x} - a.h{x})) AS inb{x}" for x in "xyz")
+
+
+@query(_BOX_SQL.replace("TOL", "0.02") + f""", m AS (SELECT id_a, id_b, ca, cb, {_APART_SQL} FROM pairs JOIN b a ON a.id = id_a JOIN b ON b.id = id_b), d AS (
+  SELECT *, CASE WHEN greatest(gx, gy, gz) > 0 THEN sqrt(power(greatest(gx, 0), 2) + power(greatest(gy, 0), 2) + power(greatest(gz, 0), 2)) ELSE greatest(0, least(inax, inay, inaz), least(inbx, inby, inbz)) END AS distance FROM m
+) SELECT id_a, id_b, ca AS class_a, cb AS class_b, CASE WHEN distance = 0 THEN 'hard' ELSE 'clearance' END AS kind, round(distance, 4) + 0.0 AS min_distance_m FROM d WHERE distance <= 0.02""", model=False)
 def q_clash_narrow(m: StarModel) -> DataFrame:
+    """Boxes as meshes: the distance between two skins is that between the boxes, or how deep one lies within the other."""
+    return clash.clash(*_box_meshes(m), tolerance=0.02).select("id_a", "id_b", "class_a", "class_b", "kind", (F.round("min_distance_m", 4) + 0.0).alias("min_distance_m"))
+
+
+def _box_meshes(m: StarModel) -> tuple[DataFrame, DataFrame]:
     corners, indices = geometry.box_mesh(1.0, 1.0, 1.0)
     b = _boxes(m).withColumn("guid", F.concat(F.lit("M"), F.col("id").cast("string")))
     vertices = F.array(*[F.col(f"min_{x}") + (F.col(f"max_{x}") - F.col(f"min_{x}")) * c for c, x in zip(corners, "xyz" * 8, strict=True)])
-    meshes = b.select("id", vertices.alias("vertices"), F.array(*[F.lit(i).cast("bigint") for i in indices]).alias("indices"))
-    return clash.clash(b, meshes, tolerance=0.02)
+    return b, b.select("id", vertices.alias("vertices"), F.array(*[F.lit(i).cast("bigint") for i in indices]).alias("indices"))
 
 
 # --- floors
@@ -598,6 +618,7 @@ _REFS_SQL = """, refs AS (SELECT guid AS src, concat('T', l_partkey) AS dst FROM
 
 @query(_REFS_SQL + ", reached AS (SELECT guid AS node FROM products WHERE entity = 'IfcSensor' UNION SELECT dst FROM reached JOIN refs ON src = node) SELECT node FROM reached")
 def q_closure(m: StarModel) -> DataFrame:
+    m.staged()
     starts = m.products().where("entity = 'IfcSensor'").select(F.col("guid").alias("node"))
     return graph.reachable(starts, _refs(m))
 
@@ -611,9 +632,12 @@ def q_subset_rels(m: StarModel) -> DataFrame:
     return prune_anchors(rels, kept).groupBy("rel_id").agg(F.array_join(F.sort_array(F.collect_list("anchor")), "|").alias("kept"), F.count("*").alias("n"))
 
 
-@query(_REFS_SQL + """, gone AS (SELECT guid AS src FROM products WHERE guid LIKE 'O%' AND object_type <> '5-LOW'), kept AS (SELECT dst FROM refs WHERE src NOT IN (SELECT src FROM gone))
-SELECT DISTINCT dst AS node FROM refs WHERE src IN (SELECT src FROM gone) AND dst NOT IN (SELECT dst FROM kept)""")
+_DEAD_SQL = ", ".join(f"dead{k} AS (SELECT dst AS node FROM refs GROUP BY dst HAVING bool_and(src IN (SELECT node FROM dead{k - 1}) OR src IN (SELECT node FROM dead0)))" for k in (1, 2, 3, 4))
+
+
+@query(_REFS_SQL + ", dead0 AS (SELECT guid AS node FROM products WHERE guid LIKE 'O%' AND object_type <> '5-LOW'), " + _DEAD_SQL + " SELECT node FROM dead4")
 def q_orphan_gc(m: StarModel) -> DataFrame:
+    m.staged()
     from ..operators.subset import orphans
 
     gone = m.products().where("guid LIKE 'O%' AND object_type <> '5-LOW'").select(F.col("guid").alias("node"))
@@ -626,8 +650,16 @@ def q_hybrid_routing(m: StarModel) -> DataFrame:
     return m.lines().select("guid", "l_quantity").join(flagged, "guid", "left").select("guid", F.coalesce("outside", "l_quantity").alias("value"), F.col("outside").isNotNull().alias("routed"))
 
 
-@query()
+@query(_BOUNDS_SQL + """, counted AS (SELECT guid, CAST(ceil(1000 * sum(mag / 2)) AS BIGINT) AS n FROM tri GROUP BY guid)
+SELECT guid, n, n AS n_inside, n AS n_fair FROM counted""", model=False)
 def q_point_cloud(m: StarModel) -> DataFrame:
-    return geometry.point_cloud(geometry.triangles(_meshes(m)), per_m2=20.0)
-
-
+    """Points a mesh at the default density, those inside its box, and those on triangles that got their share to within one."""
+    tris = geometry.triangles(_meshes(m))
+    cloud = geometry.point_cloud(tris)
+    share = tris.select("guid", "tri", "mag", *[F.least(*[F.col(f"{c}{x}") for c in "abc"]).alias(f"low_{x}") for x in "xyz"], *[F.greatest(*[F.col(f"{c}{x}") for c in "abc"]).alias(f"high_{x}") for x in "xyz"])
+    # ceil() over a mesh adds less than one point to it, so a triangle's ladder is at most that much denser.
+    whole = tris.groupBy("guid").agg((F.sum("mag") / 2).alias("area"))
+    got = cloud.join(share, ["guid", "tri"]).withColumn("inside", F.forall(F.array(*[(F.col(x) >= F.col(f"low_{x}") - 1e-9) & (F.col(x) <= F.col(f"high_{x}") + 1e-9) for x in "xyz"]), lambda ok: ok))
+    per = got.groupBy("guid", "tri").agg(F.count("*").alias("n"), F.count_if("inside").alias("inside"), F.first("mag").alias("mag")).join(whole, "guid")
+    fair = F.abs(F.col("n") - F.ceil(F.col("area") * 1000) * F.col("mag") / 2 / F.col("area")) <= 1 + 1e-6
+    return per.groupBy("guid").agg(F.sum("n").alias("n"), F.sum("inside").alias("n_inside"), F.coalesce(F.sum(F.when(fair, F.col("n"))), F.lit(0).cast("long")).alias("n_fair"))

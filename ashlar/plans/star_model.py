@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.durable import durable
+
 SEGMENTS = {"AUTOMOBILE": "IfcWall", "BUILDING": "IfcSlab", "FURNITURE": "IfcFurniture", "HOUSEHOLD": "IfcDoor", "MACHINERY": "IfcPipeSegment"}
 PRIORITIES = {"1-URGENT": "IfcWallStandardCase", "2-HIGH": "IfcBeam", "3-MEDIUM": "IfcSpace", "4-NOT SPECIFIED": "IfcBuildingElementProxy", "5-LOW": "IfcElementAssembly"}
 FLAGS = {"AF": "IfcPipeFitting", "AO": "IfcDuctFitting", "NF": "IfcCovering", "NO": "IfcOpeningElement", "RF": "IfcPlate", "RO": "IfcSensor"}
@@ -30,16 +32,25 @@ class StarModel:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self._lines: DataFrame | None = None
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def lines(self) -> DataFrame:
         """lineitem with one row a key: the last by part, supplier, quantity, price and date."""
+        if self._lines is not None:
+            return self._lines
         order = [F.desc(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")]
         last = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order)
         return self.raw("lineitem").withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place").withColumn("guid", F.concat(F.lit("L"), _text("l_orderkey"), F.lit("-"), _text("l_linenumber")))
 
+    def staged(self) -> StarModel:
+        """This model with lines() written once, for queries that read it several times."""
+        used = ["guid", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
+        self._lines = durable(self.lines().select(*used))
+        return self
+
     def products(self) -> DataFrame:
         null = F.lit(None).cast("string")
         c = self.raw("customer").select(

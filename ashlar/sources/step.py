@@ -7,14 +7,16 @@ import hashlib
 import io
 import os
 import re
+import warnings
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.step_text import decode_bytes, decode_text, split_args
@@ -22,21 +24,31 @@ from ..functions.step_text import decode_bytes, decode_text, split_args
 RECORDS = "file_id string, ord bigint, step_id bigint, type string, args string, raw string"
 TRAILER = b"END-ISO-10303-21"
 BATCH = 20_000
+#: Plain files above this size are cut into pieces of about it.
+SPLIT = 64 << 20
 # One lexical unit: a string, a comment, or anything that ends a record or starts one of those.
 _RECORD = re.compile(rb"#(\d+)\s*=\s*([A-Za-z][A-Za-z0-9_]*)\s*\(((?:[^'/;]|'(?:[^']|'')*'|/\*.*?\*/|/(?!\*))*)\)\s*;", re.S)
 _SKIP = re.compile(rb"(?:\s|/\*.*?\*/)*", re.S)
+_OPEN_UNIT = re.compile(rb"'(?:[^']|'')*(?:'|\Z)|/\*.*?(?:\*/|\Z)|DATA\s*(?:\([^;]*\))?\s*;|ENDSEC\s*;|;", re.S)
 _UNIT = re.compile(rb"'(?:[^']|'')*'|/\*.*?\*/|DATA\s*(?:\([^;]*\))?\s*;|ENDSEC\s*;|;", re.S)
 
 
+def member(z: zipfile.ZipFile) -> zipfile.ZipInfo:
+    """The largest STEP member of an archive by its unpacked size; warns if there are several."""
+    members = [m for m in z.infolist() if m.filename.lower().endswith((".ifc", ".step", ".stp"))]
+    if not members:
+        raise ValueError("no .ifc, .step or .stp member in the archive")
+    if len(members) > 1:
+        warnings.warn(f"{len(members)} models in the archive; the largest is read", stacklevel=2)
+    return max(members, key=lambda m: (m.file_size, m.filename))
+
+
 def unwrap(raw: bytes) -> bytes:
-    """The STEP bytes of a file: as they are, or the largest member of a zip by its unpacked size."""
+    """The STEP bytes of a file: as they are, or the largest member of a zip."""
     if raw[:4] != b"PK\x03\x04":
         return raw
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        members = [m for m in z.infolist() if m.filename.lower().endswith((".ifc", ".step", ".stp"))]
-        if not members:
-            raise ValueError("no .ifc, .step or .stp member in the archive")
-        return z.read(max(members, key=lambda m: (m.file_size, m.filename)))
+        return z.read(member(z))
 
 
 def check_trailer(raw: bytes) -> None:
@@ -56,71 +68,137 @@ def data_section(raw: bytes) -> tuple[int, int]:
     return (start, len(raw)) if start is not None else (len(raw), len(raw))
 
 
-def scan(raw: bytes) -> Iterator[tuple[int, str, str, str]]:
-    """(step_id, type, args, raw) of each record; raw runs to the next record. Malformed ones are skipped."""
-    at, end = data_section(raw)
+def scan(raw: bytes, at: int | None = None, end: int | None = None, base: int = 0) -> Iterator[tuple[int, int, str, str, str]]:
+    """(ord, step_id, type, args, raw) of each record, by default of the whole DATA section; malformed ones are skipped.
+
+    ord is the record's place in bytes, counted from base; raw runs to the next record.
+    """
+    if at is None:
+        at, end = data_section(raw)
     at = _SKIP.match(raw, at, end).end()
     while at < end and raw[at : at + 1] == b"#":
         m = _RECORD.match(raw, at, end)
         stop = m.end() if m else next((u.end() for u in _UNIT.finditer(raw, at, end) if u[0] == b";"), end)
         following = _SKIP.match(raw, stop, end).end()
         if m:
-            yield int(m[1]), m[2].decode().upper(), decode_bytes(m[3]), decode_bytes(raw[at:following])
+            yield base + at, int(m[1]), m[2].decode().upper(), decode_bytes(m[3]), decode_bytes(raw[at:following])
         at = following
 
 
-def scan_at(raw: bytes) -> Iterator[tuple[int, int]]:
-    """(start, stop) of each record in the file, for verbatim copies."""
-    at, end = data_section(raw)
-    for m in _RECORD.finditer(raw, at, end):
-        yield m.start(), m.end()
+def cuts(stream: io.RawIOBase, every: int, block: int = 8 << 20) -> list[tuple[int, int]]:
+    """(start, stop) of pieces of a file's DATA section of some `every` bytes, each of whole records.
+
+    One pass in blocks: what follows the last end of a record is looked at again with the next block, so
+    strings and comments are always seen whole and marks inside them never count.
+    """
+    rest, base, begun, last, out = b"", 0, False, 0, []
+    stream.seek(0)
+    while True:
+        more = stream.read(block)
+        buffer, done = rest + more, 0
+        for m in _OPEN_UNIT.finditer(buffer):
+            word = m[0][:1]
+            if word == b"D" and not begun:
+                begun, last, done = True, base + m.end(), m.end()
+            elif word == b"E" and begun:
+                return [*out, (last, base + m.start())]
+            elif word == b";":
+                done = m.end()
+                if begun and base + done - last >= every:
+                    out.append((last, base + done))
+                    last = base + done
+        if not more:
+            return [*out, (last, base + len(buffer))] if begun else []
+        rest, base = buffer[done:], base + done
+
+
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path) else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def files(path: str) -> list[tuple[str, int]]:
+    """(path or URI, size) of the files that a path, folder or local pattern names; hidden ones and marks are left out."""
+    found = []
+    for one in path.split(","):
+        files_of, inner = store(one)
+        prefix = one[: len(one) - len(inner)] if one.endswith(inner) else ""
+        names = sorted(glob.glob(inner)) if any(c in inner for c in "*?[") and isinstance(files_of, fs.LocalFileSystem) else [inner]
+        for info in files_of.get_file_info(names):
+            inside = files_of.get_file_info(fs.FileSelector(info.path)) if info.type == fs.FileType.Directory else [info]
+            found += sorted((prefix + i.path, i.size) for i in inside if i.type == fs.FileType.File and not os.path.basename(i.path).startswith(("_", ".")))
+    if not found:
+        raise FileNotFoundError(path)
+    return found
+
+
+def opened(path: str):
+    files_of, inner = store(path)
+    return files_of.open_input_file(inner)
 
 
 @dataclass
-class _File(InputPartition):
+class _Piece(InputPartition):
+    """Bytes start to stop of a file's DATA section, or the whole file where stop is None."""
+
     path: str
+    start: int = 0
+    stop: int | None = None
+
+
+_SCHEMA = pa.schema([("file_id", pa.string()), ("ord", pa.int64()), ("step_id", pa.int64()), ("type", pa.string()), ("args", pa.string()), ("raw", pa.string())])
+
+
+def _batches(path: str, records: Iterator[tuple[int, int, str, str, str]], types: set[str] | None = None) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for record in records:
+        if types is not None and record[2] not in types:
+            continue
+        rows.append((path, *record))
+        if len(rows) == BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
 class _Reader(DataSourceReader):
-    """One partition a file: strings and comments may hold any mark, so a file cannot be cut blindly."""
+    """One partition a file, or several for a large plain file, cut where records end."""
 
     def __init__(self, options: dict):
-        self.paths = [p for pattern in options["path"].split(",") for p in (sorted(glob.glob(f"{pattern}/*")) if os.path.isdir(pattern) else sorted(glob.glob(pattern)))]
-        if not self.paths:
-            raise FileNotFoundError(options["path"])
-        self.types: set[str] | None = None
-
-    def pushFilters(self, filters: list) -> Iterator:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("type",):
-                self.types = {f.value} if self.types is None else self.types & {f.value}
-            elif isinstance(f, In) and f.attribute == ("type",):
-                self.types = set(f.value) if self.types is None else self.types & set(f.value)
-            else:
-                yield f
+        self.files = files(options["path"])
+        self.split = int(options.get("splitBytes", SPLIT))
+        self.types = {t.strip().upper() for t in options["types"].split(",")} if options.get("types") else None
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
+        out: list[InputPartition] = []
+        for path, size in self.files:
+            with opened(path) as f:
+                if size <= self.split or f.read_at(4, 0) == b"PK\x03\x04":
+                    out.append(_Piece(path))
+                    continue
+                check_trailer(f.read_at(256, size - 256))
+                out += [_Piece(path, a, b) for a, b in cuts(f, self.split)]
+        return out
+
+    def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
+        with opened(partition.path) as f:
+            if partition.stop is not None:
+                raw = f.read_at(partition.stop - partition.start, partition.start)
+                yield from _batches(partition.path, scan(raw, 0, len(raw), partition.start), self.types)
+                return
             raw = unwrap(f.read())
         check_trailer(raw)
-        rows = []
-        schema = pa.schema([("file_id", pa.string()), ("ord", pa.int64()), ("step_id", pa.int64()), ("type", pa.string()), ("args", pa.string()), ("raw", pa.string())])
-        for i, (step_id, name, args, text) in enumerate(scan(raw)):
-            if self.types is not None and name not in self.types:
-                continue
-            rows.append((partition.path, i, step_id, name, args, text))
-            if len(rows) == BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        yield from _batches(partition.path, scan(raw), self.types)
 
 
 class StepSource(DataSource):
-    """spark.read.format("step").load(path): path names files, folders or patterns."""
+    """spark.read.format("step").load(path): path names files, folders or patterns.
+
+    Option types names the record types to hand on, parted by commas; the others are dropped in the scan. It is an option
+    and no filter push-down, because Spark shares one reader among all scans of a DataFrame in a query: a
+    filter pushed by one of them would hold for the others too. Option splitBytes sets the size of pieces.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -133,25 +211,21 @@ class StepSource(DataSource):
         return _Reader(self.options)
 
 
-def read_step(spark: SparkSession, path: str) -> DataFrame:
-    """Records of STEP files on a file system that every executor mounts."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_step(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Records of STEP files in any store that Arrow opens: local and mounted paths, file, s3, gs and hdfs URIs."""
     spark.dataSource.register(StepSource)
-    return spark.read.format("step").option("path", path).load()
+    return spark.read.format("step").options(**options).option("path", path).load()
 
 
 def read_step_anywhere(spark: SparkSession, path: str) -> DataFrame:
-    """Records of STEP files in any store that Spark reads."""
+    """Records of STEP files in a store that only Spark reads; a file is one row there, of up to 2 GB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = unwrap(content)
                 check_trailer(raw)
-                rows = [(name, i, *record) for i, record in enumerate(scan(raw))]
-                for k in range(0, len(rows), BATCH):
-                    columns = list(zip(*rows[k : k + BATCH], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["file_id", "ord", "step_id", "type", "args", "raw"])
+                yield from _batches(name, scan(raw))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
@@ -168,10 +242,19 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
 
 
 def header(path: str) -> dict:
-    """FILE_DESCRIPTION, FILE_NAME and FILE_SCHEMA from the first 64 KB, with size, mtime and cache key."""
-    with open(path, "rb") as f:
-        whole = f.read()
-    raw = unwrap(whole)[:65536]
+    """FILE_DESCRIPTION, FILE_NAME and FILE_SCHEMA from the first 64 KB, with size, mtime and cache key.
+
+    Only both ends of the file are read, or the first 64 KB of a zip's member.
+    """
+    name, size = files(path)[0]
+    files_of, inner = store(name)
+    with opened(name) as f:
+        head = f.read_at(min(size, 4 << 20), 0)
+        tail = f.read_at(min(size, 4 << 20), max(0, size - (4 << 20)))
+        raw = head[:65536]
+        if raw[:4] == b"PK\x03\x04":
+            with zipfile.ZipFile(f) as z, z.open(member(z)) as inside:
+                raw = inside.read(65536)
     lossy = False
     try:
         text = raw.decode("utf-8")
@@ -193,16 +276,15 @@ def header(path: str) -> dict:
         return [decode_text(v[1:-1]) for v in split_args(values[i].strip()[1:-1]) if v.startswith("'")] if i < len(values) and values[i].startswith("(") else []
 
     about, name, schema = fields("FILE_DESCRIPTION"), fields("FILE_NAME"), fields("FILE_SCHEMA")
-    stat = os.stat(path)
     return {
-        "path": path, "size_bytes": stat.st_size, "mtime_ns": stat.st_mtime_ns, "schema": (many(schema, 0) or [None])[0], "description": many(about, 0), "name": one(name, 0), "time_stamp": one(name, 1), "author": many(name, 2),
-        "organization": many(name, 3), "preprocessor_version": one(name, 4), "originating_system": one(name, 5), "authorisation": one(name, 6), "cache_key": cache_key(whole), "encoding_lossy": lossy,
+        "path": path, "size_bytes": size, "mtime_ns": files_of.get_file_info(inner).mtime_ns, "schema": (many(schema, 0) or [None])[0], "description": many(about, 0), "name": one(name, 0), "time_stamp": one(name, 1), "author": many(name, 2),
+        "organization": many(name, 3), "preprocessor_version": one(name, 4), "originating_system": one(name, 5), "authorisation": one(name, 6), "cache_key": cache_key(size, head, tail), "encoding_lossy": lossy,
     }
 
 
-def cache_key(content: bytes, version: str = "1") -> str:
-    """A short hash of a version, the size and both ends of a file."""
-    return hashlib.sha256(version.encode() + str(len(content)).encode() + content[: 4 << 20] + content[-(4 << 20) :]).hexdigest()[:16]
+def cache_key(size: int, head: bytes, tail: bytes, version: str = "1") -> str:
+    """A short hash of a version, the size and both ends of a file, 4 MB each."""
+    return hashlib.sha256(version.encode() + str(size).encode() + head + tail).hexdigest()[:16]
 
 
 def write_step(records: DataFrame, head: str, path: str) -> None:

@@ -211,7 +211,7 @@ def test_duplicates_and_units(spark, tmp_path):
     ],
 )
 def test_solids_have_their_volume(body, root, volume):
-    records = {i: (t, a) for i, t, a, _ in step.scan(("DATA;\n" + body + "\nENDSEC;").encode())}
+    records = {i: (t, a) for _, i, t, a, _ in step.scan(("DATA;\n" + body + "\nENDSEC;").encode())}
     ((_, v, t),) = solids.Items(records).mesh(root)
     c = v[t]
     got = np.einsum("ij,ij->", c[:, 0], np.cross(c[:, 1], c[:, 2])) / 6
