@@ -19,13 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine gets a temporary folder; a cluster raises, as
+    executors there would write where nobody else can read.
+    """
     conf = spark.sparkContext.getConf()
-    if not conf.contains("spark.checkpoint.dir"):
-        if not hasattr(spark, "_ashlar_dir"):
-            spark._ashlar_dir = f"file://{tempfile.mkdtemp(prefix='ashlar-')}"
-        return spark._ashlar_dir
-    return conf.get("spark.checkpoint.dir").rstrip("/")
+    if conf.contains("spark.checkpoint.dir"):
+        return conf.get("spark.checkpoint.dir").rstrip("/")
+    if not conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    if not hasattr(spark, "_ashlar_dir"):
+        spark._ashlar_dir = f"file://{tempfile.mkdtemp(prefix='ashlar-')}"
+    return spark._ashlar_dir
+
+
+#: Rows that a Python worker is handed at once while a table is written; texts may be long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -36,7 +47,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ashlar-tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._ashlar_path = path
