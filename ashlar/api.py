@@ -29,7 +29,7 @@ class Model:
             self._check()
 
     def _check(self) -> None:
-        if not (self.header["schema"] or "").upper().startswith(("IFC2X3", "IFC4")):
+        if classes.resolve_schema(self.header["schema"]) is None:
             raise ValueError(f"unknown schema {self.header['schema']!r}")
         has = not self.records.where("type = 'IFCCONVERSIONBASEDUNIT' AND args LIKE '%LENGTHUNIT%'").isEmpty()
         if has and self.unit_scale is None:
@@ -97,7 +97,7 @@ class Model:
         if mode is not None and mode not in ("count", "measure", "linear", "skip"):
             raise ValueError(f"unknown mode {mode!r}")
         if entity is not None:
-            classes.subtypes(entity)
+            classes.subtypes(entity, self.tables.schema)
         rows = self.products
         for column, value in (("entity", entity), ("mode", mode), ("storey_guid", storey_guid)):
             if value is not None:
@@ -105,7 +105,7 @@ class Model:
         return rows
 
     def by_type(self, entity: str, include_subtypes: bool = True) -> DataFrame:
-        names = classes.subtypes(entity)
+        names = classes.subtypes(entity, self.tables.schema)
         return self.products.where(F.col("entity").isin(*(names if include_subtypes else [n for n in names if n.lower() == entity.lower()])))
 
     def product(self, guid: str) -> dict | None:
@@ -113,16 +113,21 @@ class Model:
         return row.asDict() if row else None
 
     def parent(self, guid: str) -> DataFrame:
-        return graph.parents(self.aggregates, self.contained_in).where(F.col("guid") == guid)
+        return graph.parents(*self._edges()).where(F.col("guid") == guid)
 
     def children(self, guid: str) -> DataFrame:
         return graph.children(self.aggregates, self.contained_in).where(F.col("parent_guid") == guid)
 
+    def _edges(self) -> tuple[DataFrame, DataFrame]:
+        return self.tables.aggregate_edges(), self.tables.containment_edges()
+
     def ancestors(self, guid: str) -> DataFrame:
-        return graph.ancestors(graph.parents(self.aggregates, self.contained_in)).where(F.col("guid") == guid).orderBy("depth")
+        up = graph.parents(*self._edges()).select(F.col("guid").alias("src"), F.col("parent_guid").alias("dst"))
+        return graph.reach_from(guid, up).select(F.col("src").alias("guid"), F.col("dst").alias("ancestor_guid"), "depth").orderBy("depth")
 
     def descendants(self, guid: str) -> DataFrame:
-        return graph.descendants(graph.children(self.aggregates, self.contained_in)).where(F.col("guid") == guid).orderBy("depth", "descendant_guid")
+        down = graph.children(self.aggregates, self.contained_in).select(F.col("parent_guid").alias("src"), F.col("child_guid").alias("dst"))
+        return graph.reach_from(guid, down).select(F.col("src").alias("guid"), F.col("dst").alias("descendant_guid"), "depth").orderBy("depth", "descendant_guid")
 
     def products_in(self, guid: str) -> DataFrame:
         return graph.products_in(self.descendants(guid), self.products)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,9 @@ IfcBeamStandardCase IfcColumn IfcColumnStandardCase IfcMember IfcMemberStandardC
 IfcStair IfcStairFlight IfcRamp IfcRampFlight IfcShadingDevice IfcBuildingElementProxy IfcReinforcingBar IfcReinforcingMesh
 IfcReinforcingElement IfcTendon IfcTendonAnchor IfcTendonConduit IfcProxy IfcCivilElement IfcGeographicElement
 """.split()
-#: Classes whose subclasses count.
+#: Classes whose subclasses count, and those whose subclasses are measured along their length or as bodies.
 COUNT_PARENTS = "IfcFlowTerminal IfcFlowController IfcFlowMovingDevice IfcFlowStorageDevice IfcFlowTreatmentDevice IfcEnergyConversionDevice IfcDistributionControlElement".split()
+LINEAR_PARENTS, MEASURE_PARENTS = ["IfcFlowSegment"], ["IfcBuildingElement", "IfcBuiltElement"]
 
 #: The public IFC4 class hierarchy as far as products go: a parent, then its children.
 HIERARCHY = """
@@ -60,65 +63,144 @@ IfcDistributionControlElement: IfcSensor IfcAlarm IfcController IfcActuator IfcU
 IfcDistributionFlowElement: IfcFlowSegment IfcFlowFitting IfcFlowTerminal IfcFlowController IfcFlowMovingDevice IfcFlowStorageDevice IfcFlowTreatmentDevice IfcEnergyConversionDevice IfcDistributionChamberElement
 IfcFlowSegment: IfcPipeSegment IfcDuctSegment IfcCableSegment IfcCableCarrierSegment
 IfcFlowFitting: IfcPipeFitting IfcDuctFitting IfcCableFitting IfcCableCarrierFitting IfcJunctionBox
-IfcFlowTerminal: IfcSanitaryTerminal IfcLamp IfcLightFixture IfcOutlet IfcAirTerminal IfcFireSuppressionTerminal IfcWasteTerminal IfcStackTerminal IfcSpaceHeater
-IfcFlowController: IfcValve IfcDamper IfcFlowMeter IfcSwitchingDevice IfcProtectiveDevice IfcAirTerminalBox
+IfcFlowTerminal: IfcAirTerminal IfcAudioVisualAppliance IfcCommunicationsAppliance IfcElectricAppliance IfcFireSuppressionTerminal IfcLamp IfcLightFixture IfcMedicalDevice IfcOutlet IfcSanitaryTerminal IfcSpaceHeater IfcStackTerminal IfcWasteTerminal
+IfcFlowController: IfcAirTerminalBox IfcDamper IfcElectricDistributionBoard IfcElectricTimeControl IfcFlowMeter IfcProtectiveDevice IfcSwitchingDevice IfcValve
 IfcFlowMovingDevice: IfcFan IfcPump IfcCompressor
 IfcFlowStorageDevice: IfcTank IfcElectricFlowStorageDevice
 IfcFlowTreatmentDevice: IfcFilter IfcDuctSilencer IfcInterceptor
-IfcEnergyConversionDevice: IfcBoiler IfcChiller IfcCoolingTower IfcHeatExchanger IfcTransformer IfcSolarDevice
+IfcEnergyConversionDevice: IfcAirToAirHeatRecovery IfcBoiler IfcBurner IfcChiller IfcCoil IfcCondenser IfcCooledBeam IfcCoolingTower IfcElectricGenerator IfcElectricMotor IfcEngine IfcEvaporativeCooler IfcEvaporator IfcHeatExchanger IfcHumidifier IfcMotorConnection IfcSolarDevice IfcTransformer IfcTubeBundle IfcUnitaryEquipment
 IfcPort: IfcDistributionPort
 """
 
 
-def parents() -> dict[str, str]:
-    """Each class's parent."""
-    return {child: head for line in HIERARCHY.strip().splitlines() for head, rest in [line.split(":")] for child in rest.split()}
-
-
-def ancestors(entity: str) -> list[str]:
+#: What the other schemas hold in place of a line of the above; lines with a new parent come on top, and a bar drops one.
+CHANGES = {
+    "IFC4": "",
+    "IFC4X3": """
+IfcElement: IfcBuiltElement IfcDistributionElement IfcElementAssembly IfcElementComponent IfcFeatureElement IfcFurnishingElement IfcTransportationDevice IfcVirtualElement IfcCivilElement IfcGeographicElement IfcGeotechnicalElement
+IfcBuildingElement: |
+IfcBuiltElement: IfcWall IfcSlab IfcRoof IfcFooting IfcDeepFoundation IfcEarthworksElement IfcChimney IfcBeam IfcBearing IfcColumn IfcCourse IfcKerb IfcMember IfcMooringDevice IfcNavigationElement IfcPavement IfcPlate IfcCovering IfcCurtainWall IfcRail IfcStair IfcStairFlight IfcRamp IfcRampFlight IfcRailing IfcDoor IfcTrackElement IfcWindow IfcShadingDevice IfcBuildingElementProxy
+IfcDeepFoundation: IfcPile IfcCaissonFoundation
+IfcEarthworksElement: IfcEarthworksFill IfcReinforcedSoil
+IfcTransportationDevice: IfcTransportElement IfcVehicle
+IfcGeotechnicalElement: IfcGeotechnicalAssembly IfcGeotechnicalStratum
+IfcFeatureElementSubtraction: IfcOpeningElement IfcVoidingFeature IfcEarthworksCut
+IfcElementComponent: IfcBuildingElementPart IfcDiscreteAccessory IfcFastener IfcImpactProtectionDevice IfcMechanicalFastener IfcReinforcingElement IfcSign IfcVibrationDamper IfcVibrationIsolator
+IfcReinforcingElement: IfcReinforcingBar IfcReinforcingMesh IfcTendon IfcTendonAnchor IfcTendonConduit
+IfcFlowSegment: IfcPipeSegment IfcDuctSegment IfcCableSegment IfcCableCarrierSegment IfcConveyorSegment
+IfcSpatialStructureElement: IfcSite IfcBuildingStorey IfcSpace IfcFacility IfcFacilityPart
+IfcFacility: IfcBridge IfcBuilding IfcMarineFacility IfcRailway IfcRoad
+IfcFacilityPart: IfcBridgePart IfcFacilityPartCommon IfcMarinePart IfcRailwayPart IfcRoadPart
+IfcPositioningElement: IfcGrid IfcLinearPositioningElement IfcReferent
+IfcLinearPositioningElement: IfcAlignment
+""",
+    "IFC2X3": """
+IfcProduct: IfcElement IfcSpatialStructureElement IfcPort IfcAnnotation IfcProxy IfcGrid
+IfcSpatialElement: |
+IfcSpatialStructureElement: IfcSite IfcBuilding IfcBuildingStorey IfcSpace
+IfcElement: IfcBuildingElement IfcDistributionElement IfcElectricalElement IfcElementAssembly IfcElementComponent IfcEquipmentElement IfcFeatureElement IfcFurnishingElement IfcTransportElement IfcVirtualElement
+IfcBuildingElement: IfcWall IfcSlab IfcRoof IfcFooting IfcPile IfcBeam IfcBuildingElementComponent IfcColumn IfcMember IfcPlate IfcCovering IfcCurtainWall IfcStair IfcStairFlight IfcRamp IfcRampFlight IfcRailing IfcDoor IfcWindow IfcBuildingElementProxy
+IfcBuildingElementComponent: IfcBuildingElementPart IfcReinforcingElement
+IfcElementComponent: IfcDiscreteAccessory IfcFastener
+IfcFastener: IfcMechanicalFastener
+IfcWall: IfcWallStandardCase
+IfcSlab: |
+IfcBeam: |
+IfcColumn: |
+IfcMember: |
+IfcPlate: |
+IfcDoor: |
+IfcWindow: |
+IfcOpeningElement: |
+IfcFurnishingElement: |
+IfcFeatureElement: IfcFeatureElementSubtraction IfcFeatureElementAddition
+IfcFeatureElementSubtraction: IfcOpeningElement IfcEdgeFeature
+IfcEdgeFeature: IfcChamferEdgeFeature IfcRoundedEdgeFeature
+IfcDistributionControlElement: |
+IfcFlowSegment: |
+IfcFlowFitting: |
+IfcFlowTerminal: |
+IfcFlowController: IfcElectricDistributionPoint
+IfcFlowMovingDevice: |
+IfcFlowStorageDevice: |
+IfcFlowTreatmentDevice: |
+IfcEnergyConversionDevice: |
+""",
+}
+
+
+def resolve_schema(name: str | None) -> str | None:
+    """The known schema that a header's name means: in any letter case, with any suffix, the longest that fits."""
+    fits = [s for s in CHANGES if (name or "").upper().startswith(s)]
+    return max(fits, key=len, default=None)
+
+
+def _lines(text: str) -> dict[str, list[str]]:
+    return {head: rest.split() for line in text.strip().splitlines() for head, rest in [line.split(":")]}
+
+
+@cache
+def parents(schema: str = "IFC4") -> dict[str, str]:
+    """Each class's parent in a schema; unknown schemas count as IFC4."""
+    known = _lines(HIERARCHY) | _lines(CHANGES[resolve_schema(schema) or "IFC4"])
+    return {child: head for head, rest in known.items() if rest != ["|"] for child in rest}
+
+
+@cache
+def everything() -> frozenset[str]:
+    """Every class named in any schema or mode."""
+    return frozenset({*SKIP, *COUNT, *LINEAR, *MEASURE, *COUNT_PARENTS}.union(*({*parents(s), *parents(s).values()} for s in CHANGES)))
+
+
+def ancestors(entity: str, schema: str = "IFC4") -> list[str]:
     """A class and what it descends from, nearest first."""
-    up, out = parents(), [entity]
+    up, out = parents(schema), [entity]
     while out[-1] in up:
         out.append(up[out[-1]])
     return out
 
 
-def mode_of(entity: str) -> str:
-    """skip, count, linear or measure: by the entity's own name, then by its ancestors, else skip."""
-    for name in ancestors(entity):
-        for mode, names in (("skip", SKIP), ("count", COUNT), ("linear", LINEAR), ("measure", MEASURE)):
+def mode_of(entity: str, schema: str = "IFC4") -> str:
+    """skip, count, linear or measure: by the entity's own name, then by its ancestors in the schema, else skip."""
+    for mode, names in (("skip", SKIP), ("count", COUNT), ("linear", LINEAR), ("measure", MEASURE)):
+        if entity in names:
+            return mode
+    for name in ancestors(entity, schema):
+        for mode, names in (("count", COUNT_PARENTS), ("linear", LINEAR_PARENTS), ("measure", MEASURE_PARENTS)):
             if name in names:
                 return mode
-        if name in COUNT_PARENTS:
-            return "count"
     return "skip"
 
 
-def mode_column(entity: Column) -> Column:
+def mode_column(entity: Column, schema: str = "IFC4") -> Column:
     """mode_of as an expression; a literal map, so no join."""
-    known = sorted({*parents(), *SKIP, *COUNT, *LINEAR, *MEASURE})
-    table = F.create_map(*[F.lit(x) for name in known for x in (name, mode_of(name))])
+    table = F.create_map(*[F.lit(x) for name in sorted(everything()) for x in (name, mode_of(name, schema))])
     return F.coalesce(F.element_at(table, entity), F.lit("skip"))
 
 
+def product_names(schema: str = "IFC4") -> list[str]:
+    """Upper-case names of the classes whose records are products: all elements of the schema, and those that have a mode."""
+    spatial = {n for n in everything() for s in CHANGES if {"IfcSpatialStructureElement", "IfcFacility", "IfcFacilityPart"} & {*ancestors(n, s)}} - {"IfcSpace"}
+    elements = {c for c in {*parents(schema), *parents(schema).values()} if "IfcElement" in ancestors(c, schema)}
+    return sorted(n.upper() for n in (elements | {*SKIP, *COUNT, *LINEAR, *MEASURE}) - spatial)
+
+
 def closure(spark: SparkSession) -> DataFrame:
-    """(entity, ancestor): the hierarchy's reflexive closure, a few hundred rows."""
-    rows = sorted((c, a) for c in {*parents(), *parents().values()} for a in ancestors(c))
-    return spark.createDataFrame(rows, "entity string, ancestor string")
+    """(schema, entity, ancestor): the hierarchies' reflexive closures, a few thousand rows."""
+    rows = sorted((s, c, a) for s in CHANGES for c in {*parents(s), *parents(s).values()} for a in ancestors(c, s))
+    return spark.createDataFrame(rows, "schema string, entity string, ancestor string")
 
 
-def subtypes(entity: str) -> list[str]:
-    """A class and all below it; the name in any letter case. Unknown names raise."""
-    names = {*parents(), *parents().values()}
-    exact = {n.lower(): n for n in names}.get(entity.lower())
+def subtypes(entity: str, schema: str = "IFC4") -> list[str]:
+    """A class and all below it in a schema; the name in any letter case. Names unknown to every schema raise."""
+    exact = {n.lower(): n for n in everything()}.get(entity.lower())
     if exact is None:
         raise ValueError(f"unknown entity {entity!r}")
-    return sorted(n for n in names if exact in ancestors(n))
+    return sorted({exact} | {n for n in {*parents(schema), *parents(schema).values()} if exact in ancestors(n, schema)})
 
 
 def canonical(name: Column) -> Column:
     """The proper case of an upper-case class name; unknown ones are Ifc and a capitalised rest."""
-    known = sorted({*parents(), *parents().values(), *SKIP, *COUNT, *LINEAR, *MEASURE})
-    table = F.create_map(*[F.lit(x) for n in known for x in (n.upper(), n)])
+    table = F.create_map(*[F.lit(x) for n in sorted(everything()) for x in (n.upper(), n)])
     upper = F.upper(name)
     return F.coalesce(F.element_at(table, upper), F.concat(F.lit("Ifc"), F.upper(F.substring(upper, 4, 1)), F.lower(F.substring(upper, 5, 1000))))

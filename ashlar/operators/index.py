@@ -43,7 +43,7 @@ def kept(f: Callable) -> Callable:
 class Tables:
     """Tables over records(file_id, ord, step_id, type, args, raw) of one model, each worked out on first use.
 
-    The schema dialect matters for predefined types only. Records of one step_id count once, the last value
+    The schema decides on which records are products, their modes and predefined types. Records of one step_id count once, the last value
     at the first place.
     """
 
@@ -66,8 +66,7 @@ class Tables:
 
     @kept
     def products(self) -> DataFrame:
-        names = sorted({n.upper() for n in {*classes.SKIP, *classes.COUNT, *classes.LINEAR, *classes.MEASURE} | {c for c in classes.parents() if "IfcElement" in classes.ancestors(c)}} - {k for k in SPATIAL if k != "IFCSPACE"})
-        rows = self.of(*names)
+        rows = self.of(*classes.product_names(self.schema))
         old = self.schema.startswith("IFC2X3")
         picked = step.last_enum(F.col("f"))
         if old:
@@ -76,7 +75,7 @@ class Tables:
             third = step.enum(F.get("f", F.size("f") - 3))
             predefined = F.when(F.col("type").isin(*OPENING_FILLERS) & (F.size("f") >= 11), third).otherwise(picked)
         out = rows.select("step_id", "ord", step.string(_f(0)).alias("guid"), classes.canonical(F.col("type")).alias("entity"), step.string(_f(2)).alias("name"), predefined.alias("predefined_type"), step.string(_f(4)).alias("object_type"), step.string(_f(7)).alias("tag"), step.ref(_f(5)).alias("placement_id"), step.ref(_f(6)).alias("shape_id"))
-        return out.withColumn("mode", classes.mode_column(F.col("entity")))
+        return out.withColumn("mode", classes.mode_column(F.col("entity"), self.schema))
 
     @kept
     def storeys(self) -> DataFrame:

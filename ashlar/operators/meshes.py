@@ -73,12 +73,14 @@ def placements(tables: Tables) -> DataFrame:
     return _owned(tables, roots).groupBy("root").applyInPandas(run, "placement_id long, matrix array<double>")
 
 
-def product_meshes(tables: Tables, space: str = "world") -> DataFrame:
+def product_meshes(tables: Tables, space: str = "world", guids: list[str] | None = None) -> DataFrame:
     """(guid, entity, place, item_id, fragment, source, vertices, indices) of every fragment of every product.
 
-    space is world, local (the product's own frame) or item. Matrices are applied in the JVM, row by row.
+    space is world, local (the product's own frame) or item. With guids only those products' items are read and meshed. Matrices are applied in the JVM, row by row.
     """
     items = body_items(tables)
+    if guids is not None:
+        items = durable(items.where(F.col("guid").isin(*guids)))
     shaped = items.where("item_id IS NOT NULL").join(item_meshes(tables, items), "item_id")
     if space in ("item", "local"):
         return shaped.select("guid", "entity", "place", "item_id", "fragment", "source", "vertices", "indices")
@@ -118,6 +120,11 @@ def segments(whole: DataFrame) -> DataFrame:
     return whole.select("guid", F.explode("segments").alias("s")).select("guid", "s.segment_index", "s.source", "s.index_start", "s.triangle_count")
 
 
+def scaled(fragments: DataFrame, by: float) -> DataFrame:
+    """fragments with every coordinate multiplied."""
+    return fragments.withColumn("vertices", F.transform("vertices", lambda x: x * by))
+
+
 def by_source(fragments: DataFrame) -> DataFrame:
     """(source, fragments, products, triangles) of each provenance."""
     return fragments.groupBy("source").agg(F.count("*").alias("fragments"), F.count_distinct("guid").alias("products"), F.sum((F.size("indices") / 3).cast("long")).alias("triangles"))

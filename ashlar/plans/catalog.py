@@ -1,6 +1,6 @@
 """All queries of the engine and the SQL that states them."""
 
-from . import queries, shape_model, step_model
+from . import queries, report_queries, shape_model, step_model
 
-QUERIES = queries.QUERIES | step_model.QUERIES | shape_model.QUERIES
-SQL = queries.SQL | step_model.SQL | shape_model.SQL
+QUERIES = queries.QUERIES | step_model.QUERIES | shape_model.QUERIES | report_queries.QUERIES
+SQL = queries.SQL | step_model.SQL | shape_model.SQL | report_queries.SQL
