@@ -7,28 +7,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-#: The training sample: documents and then distinct words per language, languages at most.
-SAMPLE_DOCS, SAMPLE_WORDS, LANGUAGES = 400, 6000, 64
-#: Bytes to a sequence: words are cut at this length, and the state starts afresh at each.
-SEQUENCE = 24
-STEPS, BATCH, HIDDEN, EMBED = 500, 256, 24, 12
-#: Words whose result a Python worker remembers.
-CACHE_WORDS = 150_000
+#: The training sample, for each language: documents, and stretches of so many characters from each.
+SAMPLE_DOCS, SAMPLE_STRETCHES, STRETCH = 400, 12, 48
+#: Bytes of a text that a sequence labels, and bytes of its neighbourhood on each side that it reads besides.
+SPAN, CONTEXT = 240, 8
+STEPS, BATCH, HIDDEN, EMBED = 400, 192, 12, 12
+#: Texts and sequences that a worker labels together.
+SLICE, TOGETHER = 256, 1024
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def sequences(text: str) -> list[bytes]:
-    """A text's words in lower case as UTF-8, cut after every SEQUENCE bytes; white space parts them."""
-    words = text.lower().encode().split()
-    if max(map(len, words), default=0) <= SEQUENCE:
-        return words
-    return [w[i : i + SEQUENCE] for w in words for i in range(0, len(w), SEQUENCE)]
+def has_letter(text: str | None) -> bool:
+    """True if a character of the text is alphabetic; superscripts and circled numbers are not."""
+    found = _LETTER.search(text or "")
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
+def content(text: str) -> bytes:
+    """What the network reads: the text in lower case as UTF-8, with one blank for each run of white space."""
+    return " ".join(text.lower().split()).encode()
+
+
+def _whole(data: bytes, at: int) -> int:
+    """The place, at or before `at`, where a character begins."""
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def windows(data: bytes, span: int = SPAN, context: int = CONTEXT) -> list[tuple[int, int, int, int]]:
+    """(first, start, stop, last) of the sequences of a text: bytes first to last are read and start to stop labelled.
+
+    Every byte is labelled once, whatever the length; characters are never cut.
+    """
+    out, start = [], 0
+    while start < len(data):
+        stop = _whole(data, min(start + span, len(data)))
+        stop = stop if stop > start else min(start + span, len(data))
+        out.append((_whole(data, max(0, start - context)), start, stop, _whole(data, min(stop + context, len(data)))))
+        start = stop
+    return out
 
 
 def _matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,84 +161,121 @@ class Network:
 
 
 class Labeller:
-    """Pools a text's positions: mean log-probability over all its bytes, then a softmax.
+    """Labels every byte of whole texts and pools: mean log-probability over all bytes, then a softmax.
 
-    The network starts afresh at each word, so a word's sum over its positions is always the same and
-    is worked out once per worker.
+    The states run on over words and lines. Sequences of one length are worked out together, positions in turn.
     """
 
     def __init__(self, network: Network):
-        self.network = network
-        self._index: dict[bytes, int] = {}
-        self._sums = np.zeros((0, len(network.languages) + 1), np.float32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        words.sort(key=len)
-        sums = [self._sums]
-        for i in range(0, len(words), 2048):
-            some = words[i : i + 2048]
-            codes, lengths = _matrix(some)
-            live = self.network._live(codes, lengths)
-            logs = (self.network.label(codes, lengths) * live[:, :, None]).sum(1)
-            sums.append(np.column_stack([logs, lengths]).astype(np.float32))
-        self._index |= zip(words, range(len(self._index), len(self._index) + len(words)), strict=True)
-        self._sums = np.concatenate(sums)
+        p, h = network.p, network.hidden
+        self.languages, self.hidden, self.bias = network.languages, h, p["bias"][:, None]
+        self.inputs = {s: np.ascontiguousarray((p["embed"] @ p[f"w{s}"] + p[f"c{s}"]).T) for s in "fb"}
+        self.recur = {s: np.ascontiguousarray(p[f"u{s}"].T) for s in "fb"}
+        self.out = {"f": np.ascontiguousarray(p["out"][:h].T), "b": np.ascontiguousarray(p["out"][h:].T)}
+        # Log-scores of all positions of the sequences in hand are held at once.
+        self.together = max(16, min(TOGETHER, (1 << 22) // ((SPAN + 2 * CONTEXT) * len(self.languages))))
+
+    def _run(self, side: str, codes: np.ndarray, live: np.ndarray | None, scores: np.ndarray) -> None:
+        """Adds one direction's share to scores(position, language, sequence); the state stays zero outside a sequence."""
+        h_size, inputs, recur, out = self.hidden, self.inputs[side], self.recur[side], self.out[side]
+        h = np.zeros((h_size, codes.shape[1]), np.float32)
+        x, r = np.empty((3 * h_size, codes.shape[1]), np.float32), np.empty((3 * h_size, codes.shape[1]), np.float32)
+        gates, z, reset, new = r[: 2 * h_size], r[:h_size], r[h_size : 2 * h_size], r[2 * h_size :]
+        for t in range(len(codes)) if side == "f" else range(len(codes) - 1, -1, -1):
+            np.take(inputs, codes[t], axis=1, out=x)
+            np.matmul(recur, h, out=r)
+            gates += x[: 2 * h_size]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new *= reset
+            new += x[2 * h_size :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= z
+            h += new
+            if live is not None:
+                h *= live[t]
+            scores[t] += out @ h
+
+    def sums(self, data: list[bytes], spans: list[tuple[int, int, int, int]]) -> np.ndarray:
+        """The sum of log-probabilities over the labelled bytes of each sequence, one of spans in each of data, by language."""
+        lengths = np.array([last - first for first, _, _, last in spans])
+        result = np.zeros((len(spans), len(self.languages)))
+        order = np.argsort(lengths, kind="stable")
+        for i in range(0, len(order), self.together):
+            own = order[i : i + self.together]
+            size = int(lengths[own].max())
+            rows = b"".join(data[k][spans[k][0] : spans[k][3]].ljust(size, b"\0") for k in own)
+            codes = np.ascontiguousarray(np.frombuffer(rows, np.uint8).reshape(len(own), size).T).astype(np.intp)
+            at = np.arange(size)[:, None]
+            live = (at < lengths[own]).astype(np.float32) if lengths[own].min() < size else None
+            scores = np.empty((size, len(self.languages), len(own)), np.float32)
+            scores[:] = self.bias
+            for side in "fb":
+                self._run(side, codes, live, scores)
+            scores -= scores.max(1, keepdims=True)
+            scores -= np.log(np.exp(scores).sum(1, keepdims=True))
+            lo, hi = (np.array([spans[k][j] - spans[k][0] for k in own]) for j in (1, 2))
+            wanted = ((at >= lo) & (at < hi)).astype(np.float32)
+            result[own] = np.einsum("tcn,tn->nc", scores, wanted)
+        return result
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for i in range(0, len(texts), 256):
-            n, s = self._some(texts[i : i + 256])
-            names += n
-            scores += s
-        return names, scores
-
-    def _some(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [sequences(t) if t and _LETTER.search(t) else [] for t in texts]
-        if len(self._index) > CACHE_WORDS:
-            self._index, self._sums = {}, self._sums[:0]
-        index = self._index
-        fresh = {w for words in split for w in words if w not in index}
-        if fresh:
-            self._learn(list(fresh))
-        names, scores = [], []
-        for words in split:
-            if not words:
-                names.append(UNKNOWN)
-                scores.append(0.0)
+        """The language and its score for each text."""
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for start in range(0, len(texts), SLICE):
+            data, spans, owner, size = [], [], [], {}
+            for i in range(start, min(start + SLICE, len(texts))):
+                if has_letter(texts[i]):
+                    read = content(texts[i])
+                    mine = windows(read)
+                    data += [read] * len(mine)
+                    spans += mine
+                    owner += [i] * len(mine)
+                    size[i] = len(read)
+            if not spans:
                 continue
-            total = self._sums[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-            mean = total[:-1] / total[-1]
-            chances = np.exp(mean - mean.max())
-            best = int(chances.argmax())
-            names.append(self.network.languages[best])
-            scores.append(float(chances[best] / chances.sum()))
+            ids, place = np.unique(owner, return_inverse=True)
+            total = np.zeros((len(ids), len(self.languages)))
+            np.add.at(total, place, self.sums(data, spans))
+            mean = total / np.array([size[i] for i in ids.tolist()])[:, None]
+            chances = np.exp(mean - mean.max(1, keepdims=True))
+            chances /= chances.sum(1, keepdims=True)
+            for i, row in zip(ids.tolist(), chances, strict=True):
+                best = int(row.argmax())
+                names[i], scores[i] = self.languages[best], float(row[best])
         return names, scores
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network | None:
-    """A network fitted to words of rows of docs with text and lang that are not held out.
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, stretches: int = SAMPLE_STRETCHES) -> Network | None:
+    """A network fitted to stretches of rows of docs with text and lang that are not held out.
 
-    The sample is bounded: per language about sample_docs documents by a hash of their id and of those the
-    sample_words most frequent words; the LANGUAGES most frequent languages. None without any such row.
+    The sample is bounded: of each language about sample_docs documents by a hash of their id, and of each of these
+    `stretches` runs of STRETCH characters from places drawn by hash over the whole text. Every language that occurs is learned. None
+    without any such row.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return None
     chosen = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1 + 1_000_000 * sample_docs // n))) for lang, n in counts.items()], F.lit(0))
-    sampled = known.where(chosen < share).select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    ranked = sampled.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word"), "word"))).where(F.col("place") <= sample_words)
+    shares = docs.sparkSession.createDataFrame([(lang, min(1_000_000, 1 + 1_000_000 * sample_docs // n)) for lang, n in counts.items()], "lang string, share long")
+    sampled = known.join(F.broadcast(shares), "lang").where(chosen < F.col("share"))  # one row a language
+    length = F.char_length("text")
+    starts = F.transform(F.sequence(F.lit(0), F.lit(stretches - 1)), lambda k: F.pmod(F.xxhash64(F.lit("stretch"), "doc_id", k), F.greatest(F.lit(1), length - STRETCH)).cast("int") + 1)
+    pieces = sampled.select("lang", F.explode(F.array_distinct(F.transform(starts, lambda s: F.substr("text", s, F.lit(STRETCH))))).alias("piece"))
     languages = sorted(counts)
-    words, wanted, weights = [], [], []
-    for r in sorted(ranked.select("lang", "word", "n").collect()):
-        for part in sequences(r.word):
-            words.append(part)
+    parts, wanted = [], []
+    for r in sorted(pieces.collect()):
+        data = content(r.piece) if has_letter(r.piece) else b""
+        if data:
+            parts.append(data)
             wanted.append(languages.index(r.lang))
-            weights.append(float(r.n) ** 0.5)
     network = Network(languages)
-    if words:
-        network.fit(words, np.array(wanted), np.array(weights))
+    if parts:
+        network.fit(parts, np.array(wanted), np.ones(len(parts)))
     return network
 
 
@@ -230,9 +291,11 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(network) if network else None
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            names, scores = labeller.label(texts) if labeller else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
+            for start in range(0, batch.num_rows, SLICE):
+                some = batch.slice(start, SLICE)
+                n = some.num_rows
+                names, scores = labeller.label(some.column(at).to_pylist()) if labeller else ([UNKNOWN] * n, [0.0] * n)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 

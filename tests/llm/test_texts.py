@@ -149,12 +149,51 @@ def test_language_of_held_out_documents(spark):
     assert language.identify(odd.limit(0), network).count() == 0
 
 
-def test_labelling_does_not_depend_on_the_cache(spark):
+def test_pooled_scores_match_a_plain_loop_over_positions():
+    """Every byte of the whole text is labelled once, by states that run on over words."""
+    network = language.Network(["a", "b", "c"], hidden=5, embed=4)
+    p, h_size = network.p, network.hidden
+    rng = random.Random(2)
+    texts = ["one two  three", "Two\nTHREE", "été 語り " * 60, "w" * 1000, "x", " ".join("".join(rng.choice("abcdé ") for _ in range(9)) for _ in range(80)), None, "²½①", "12 34"]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(data, s):
+        h, out = np.zeros(h_size), []
+        for c in data:
+            x = p["embed"][c] @ p[f"w{s}"] + p[f"c{s}"]
+            r_h = h @ p[f"u{s}"]
+            z, r = sigmoid(x[:h_size] + r_h[:h_size]), sigmoid(x[h_size : 2 * h_size] + r_h[h_size : 2 * h_size])
+            new = np.tanh(x[2 * h_size :] + r * r_h[2 * h_size :])
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    names, scores = language.Labeller(network).label(texts)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        if not any(map(str.isalpha, text or "")):
+            assert (name, score) == ("und", 0.0)
+            continue
+        data, total, n = language.content(text), np.zeros(3), 0
+        for first, start, stop, last in language.windows(data):
+            own = data[first:last]
+            own.decode()
+            for t, (f, b) in enumerate(zip(states(own, "f"), states(own[::-1], "b")[::-1], strict=True)):
+                if start <= first + t < stop:
+                    logits = np.concatenate([f, b]) @ p["out"] + p["bias"]
+                    total += logits - np.log(np.exp(logits).sum())
+                    n += 1
+        assert n == len(data)
+        chances = np.exp(total / n) / np.exp(total / n).sum()
+        assert name == "abc"[int(chances.argmax())] and abs(score - chances.max()) < 1e-4
+
+
+def test_labels_do_not_depend_on_the_company():
     network = language.Network(["a", "b"])
-    texts = ["one two three", "Two THREE", "été " * 3, "w" * 100]
-    labeller = language.Labeller(network)
-    first = labeller.label(texts)
-    assert labeller.label(texts) == first == ([x for t in texts for x in language.Labeller(network).label([t])[0]], [x for t in texts for x in language.Labeller(network).label([t])[1]])
+    texts = ["one two three", "Two THREE", "été " * 300, "w" * 700]
+    together = language.Labeller(network).label(texts)
+    for i, t in enumerate(texts):
+        name, score = language.Labeller(network).label([t])
+        assert name[0] == together[0][i] and abs(score[0] - together[1][i]) < 1e-5
 
 
 def test_quality_of_held_out_documents(spark):
