@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 import zlib
@@ -33,16 +34,26 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def special_tokens() -> dict[str, int]:
+    """The strings that byte_bpe_50k.json makes one id of wherever they stand."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; strings of special tokens are ordinary text.
+    """Encodes texts to little-endian unsigned 32-bit ids; a special token's string is its id wherever it stands.
 
     Most texts hold no two adjacent white spaces. There the pattern's alternative with a look-ahead
     cannot match anything but what the next one matches too, and the pattern without it runs faster.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: dict[str, int] | None = None):
         import public_tokenizers
 
+        self._special = special_tokens() if special is None else special
+        self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if self._special else None
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         full = public_tokenizers.PATTERN
@@ -50,7 +61,12 @@ class Encoder:
         self._full, self._plain = (tiktoken.Encoding("packing", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (full, plain))
 
     def encode(self, text: str) -> bytes:
-        ids = array("I", (self._full if _RUN.search(text) else self._plain)(text))
+        ids = array("I")
+        for part in self._marks.split(text) if self._marks and self._marks.search(text) else (text,):
+            if part in self._special:
+                ids.append(self._special[part])
+            elif part:
+                ids.extend((self._full if _RUN.search(part) else self._plain)(part))
         if sys.byteorder != "little":
             ids.byteswap()
         return ids.tobytes()
