@@ -164,9 +164,8 @@ def test_packing_covers_every_id_once(spark, texts):
 
     import public_tokenizers
 
-    texts = [*texts, "a  b\n\n c \t d", "<|endoftext|> x", "don't  stop now "]
+    texts = [*texts, "a  b\n\n c \t d", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext|", "  <|endoftext|>  \n", "don't  stop now "]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = corpus(spark, texts)
     rows = packing.pack(docs, limit=64, group_docs=16).collect()
     ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
@@ -271,18 +270,22 @@ def test_slices_hold_each_paragraphs_distinct_shingles():
 
 
 def brute_contained(text, item):
-    def shingles(t):
+    def split(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-        w = "".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or ord(c) > 127 else " " for c in low).split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return "".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or ord(c) > 127 else " " for c in low).split()
 
-    a, b = shingles(item), shingles(text)
+    def runs(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    w = split(item)
+    n = min(5, len(w))
+    a, b = runs(w, n) if n else set(), runs(split(text), n) if n else set()
     return (len(a), len(a & b)) if a and 5 * len(a & b) >= 4 * len(a) else None
 
 
 def test_decontamination_matches_exact_containment(spark, texts):
     rng = random.Random(9)
-    items = [words(rng, n) for n in (3, 5, 6, 14, 40, 70, 200)] + [None, "", "a b c d e"]
+    items = [words(rng, n) for n in (3, 5, 6, 14, 40, 70, 200)] + [None, "", "a b c d e", "One", "changed, changed!", "這是一個很長的句子"]
     leaked = []
     for t in items[1:7]:
         w = t.split()
@@ -290,7 +293,7 @@ def test_decontamination_matches_exact_containment(spark, texts):
         w[len(w) // 2] = "other"
         leaked.append(words(rng, 50) + " " + " ".join(w) + " " + words(rng, 50))
         leaked.append(words(rng, 30) + " " + " ".join(w[: len(w) // 2]) + " " + words(rng, 30))
-    everything = [*texts, *leaked]
+    everything = [*texts, *leaked, items[0], words(rng, 30) + " " + items[0] + " x", items[0][:-1] + "q", "前 這是一個很長的句子 後", "one"]
     docs = corpus(spark, everything)
     bench = spark.createDataFrame([*[(i, t, "x") for i, t in enumerate(items)], (None, items[4], "x"), (4, items[4], "y")], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): (r.n_item_shingles, r.n_found) for r in decontamination.contaminated(docs, bench).collect()}
