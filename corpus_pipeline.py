@@ -1,6 +1,9 @@
 """The corpus pipeline: language, near duplicates, repeated passages, benchmark leaks, packing.
 
-Each stage gets the documents that its predecessor kept, written as Parquet and read again.
+Each stage gets the documents that its predecessor kept, written as Parquet and read again. The stages return the columns of
+their input, whatever else it has; names that operators use inside are set apart first. Rows without text, or with an empty one, end
+at the first stage (they have no language); rows without doc_id, repeated rows and rows of one doc_id with several texts
+are handled as the operators state it; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -17,17 +20,21 @@ LEAST_SCORE = 0.4
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network tells; it learns from the stage's own input."""
-    labelled = language.identify(docs, language.train(docs))
+    # Written once, so that workers are handed the long texts in small batches.
+    labelled = stage(language.identify(docs, language.train(docs)), "labelled")
     return labelled.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id."""
+    """One document of each near-duplicate group, the one with the smallest doc_id.
+
+    Groups are op7's: fingerprints of four-word shingles, linked at up to 4 differing bits.
+    """
     return simhash.first_of_each_group(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier document holds."""
+    """Documents without the paragraphs and verbatim runs of over 50 words that an earlier document holds."""
     return paragraphs.remove_repeats(docs)
 
 
