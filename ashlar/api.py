@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
-import os
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import classes
-from .operators import clash, facts, geometry, graph, meshes, subset, substrate, summaries
+from .functions import classes, units
+from .operators import clash, facts, geometry, gltf, graph, meshes, openings, reports, styles, subset, substrate, summaries, swap
 from .operators.durable import durable
 from .operators.index import Tables
 from .sources import step
 
+#: The form of the cache; another one makes a cache void.
+CACHE_LAYOUT = 2
 TABLES = ("products", "storeys", "aggregates", "contained_in", "storey_building", "voids", "types", "psets", "quantities", "materials", "classifications")
 
 
@@ -22,6 +25,7 @@ class Model:
 
     def __init__(self, spark: SparkSession, path: str, strict: bool = False, cache_dir: str | None = None):
         self.spark, self.path, self.cache_dir = spark, path, cache_dir
+        self._valid: bool | None = None
         self.header = step.header(path)
         self.records = durable(step.read_step(spark, path))
         self.tables = Tables(self.records, self.header["schema"] or "IFC4")
@@ -39,33 +43,52 @@ class Model:
         """A table by name, from the cache where it is valid."""
         if name not in TABLES:
             raise ValueError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
-        if self.cache_dir and self._cached():
+        if self.cache_dir and self._valid is None:
+            self._valid = self._cached()
+        if self.cache_dir and self._valid:
             return self.spark.read.parquet(f"{self._cache_path()}/{name}")
         return self.tables.denormalised() if name == "products" else getattr(self.tables, name)()
 
     def _cache_path(self) -> str:
-        return os.path.join(self.cache_dir, self.header["cache_key"])
+        return f"{self.cache_dir.rstrip('/')}/{self.header['cache_key']}"
 
     def _cached(self) -> bool:
+        """True if every gate holds: a manifest that parses, this layout, the file's size, time and key, and each table with its rows and columns.
+
+        The tables are one unit: if one is missing, cut short or of other columns, none is used.
+        """
         try:
-            with open(f"{self._cache_path()}/manifest.json") as f:
-                kept = json.load(f)
-        except (OSError, ValueError):
-            return False
-        return all(kept.get(k) == self.header[k] for k in ("size_bytes", "mtime_ns", "cache_key"))
+            files, inner = step.store(f"{self._cache_path()}/manifest.json")
+            with files.open_input_stream(inner) as f:
+                kept = json.loads(f.read())
+            if kept.get("layout") != CACHE_LAYOUT or any(kept.get(k) != self.header[k] for k in ("size_bytes", "mtime_ns", "cache_key", "schema")):
+                return False
+            for name in TABLES:
+                rows = self.spark.read.parquet(f"{self._cache_path()}/{name}")
+                if kept["tables"][name] != {"rows": rows.count(), "columns": rows.columns}:
+                    return False
+        except (OSError, ValueError, KeyError, TypeError, AnalysisException, Py4JJavaError):
+            return False  # unreadable counts as absent: the tables are worked out anew
+        return True
 
     def write_cache(self) -> str:
         """All tables as zstd Parquet under the file's key; the manifest comes last and makes them valid."""
         path, self_cached = self._cache_path(), self.cache_dir
         self.cache_dir = None
+        files, inner = step.store(f"{path}/manifest.json")
+        if files.get_file_info(inner).type.name == "File":
+            files.delete_file(inner)
+        held = {}
         try:
             for name in TABLES:
                 self.table(name).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+                written = self.spark.read.parquet(f"{path}/{name}")
+                held[name] = {"rows": written.count(), "columns": written.columns}
         finally:
             self.cache_dir = self_cached
-        with open(f"{path}/manifest.tmp", "w") as f:
-            json.dump({k: self.header[k] for k in ("size_bytes", "mtime_ns", "cache_key", "schema")}, f)
-        os.replace(f"{path}/manifest.tmp", f"{path}/manifest.json")
+        with files.open_output_stream(inner) as f:
+            f.write(json.dumps({k: self.header[k] for k in ("size_bytes", "mtime_ns", "cache_key", "schema")} | {"layout": CACHE_LAYOUT, "tables": held}).encode())
+        self._valid = None
         return path
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -79,9 +102,7 @@ class Model:
 
     @property
     def length_unit(self) -> str:
-        names = {1.0: "m", 0.001: "mm", 0.01: "cm", 0.1: "dm", 0.3048: "ft", 0.0254: "in", 1000.0: "km"}
-        scale = self.unit_scale
-        return next((n for s, n in names.items() if scale is not None and abs(s - scale) < 1e-9), "unknown")
+        return units.name_of(self.unit_scale)
 
     @property
     def duplicate_step_ids(self) -> int:
@@ -183,21 +204,81 @@ class Model:
 
     # --- geometry
 
-    def meshes(self, space: str = "world") -> DataFrame:
-        return meshes.product_meshes(self.tables, space)
+    def meshes(self, frame: str = "world", unit: str | float | None = None, cut_openings: bool = False, keep_cutters: bool = False, guids: list[str] | None = None) -> DataFrame:
+        """Fragments of products in a frame (world, local, item), in file units or another unit.
+
+        With cut_openings the frame is local and each product is one net fragment; stand-in cutters are left out unless
+        keep_cutters says so. World coordinates are taken relative to global_shift().
+        """
+        if cut_openings:
+            rows = openings.net_meshes(self.tables).withColumn("source", F.lit("net"))
+            rows = rows.where(F.col("guid").isin(*guids)) if guids is not None else rows
+        else:
+            rows = meshes.product_meshes(self.tables, frame, guids)
+            rows = rows if keep_cutters else reports.strip_synthetic(rows)
+            if frame == "world":
+                shift = [v or 0.0 for v in self.global_shift().first()]
+                if any(shift):
+                    rows = rows.withColumn("vertices", F.transform("vertices", lambda x, i: x - F.element_at(F.array(*map(F.lit, shift)), (i % 3 + 1).cast("int"))))
+        return rows if unit is None else meshes.scaled(rows, (self.unit_scale or 1.0) * units.factor(unit, self.unit_scale or 1.0))
+
+    def mesh(self, guid: str, unit: str | float | None = None) -> DataFrame:
+        """One product's mesh in absolute world coordinates; only its own items are read."""
+        rows = meshes.merged(meshes.product_meshes(self.tables, "world", [guid]))
+        return rows if unit is None else meshes.scaled(rows, (self.unit_scale or 1.0) * units.factor(unit, self.unit_scale or 1.0))
+
+    def global_shift(self) -> DataFrame:
+        """One row (x, y, z), see reports.global_shift()."""
+        at = self.tables.products().select("ord", "placement_id").join(meshes.placements(self.tables), "placement_id")
+        return reports.global_shift(at.select("ord", *[F.get("matrix", F.lit(4 * i + 3)).alias(c) for i, c in enumerate("xyz")]), self.unit_scale or 1.0)
+
+    def segments(self) -> DataFrame:
+        return meshes.segments(meshes.merged(self.meshes()))
+
+    def drift(self) -> DataFrame:
+        """Distance of each product's middle from its placement, with severities; demoted where the whole model is baked."""
+        return geometry.demoted(meshes.drift_report(self.tables, meshes.product_meshes(self.tables, "world")))
+
+    @property
+    def world_coordinate_baked(self) -> bool:
+        return geometry.world_baked(meshes.drift_report(self.tables, meshes.product_meshes(self.tables, "world"))).first()[0]
+
+    @property
+    def unit_resolved(self) -> bool:
+        return self.unit_scale is not None
 
-    def mesh_qto(self) -> tuple[DataFrame, DataFrame]:
-        """(products, surfaces) in metres: take-off of each product's merged mesh without stand-in cutters."""
+    def mesh_qto(self, cut_openings: bool = True) -> tuple[DataFrame, DataFrame]:
+        """(products, surfaces) in metres: take-off of each product's merged mesh, net of openings or without stand-in cutters."""
         scale = self.unit_scale or 1.0
-        own = self.meshes("local").where(~F.col("source").rlike("halfspace|boolean_cutter"))
-        whole = meshes.merged(own).withColumn("vertices", F.transform("vertices", lambda x: x * scale))
-        whole = durable(whole.where(F.size("indices") >= 3))
+        if cut_openings:
+            whole = openings.net_meshes(self.tables)
+        else:
+            whole = meshes.merged(meshes.product_meshes(self.tables, "local").where(~F.col("source").rlike("halfspace|boolean_cutter")))
+        whole = durable(meshes.scaled(whole.where(F.size("indices") >= 3), scale))
         tris = geometry.triangles(whole)
         found = geometry.surfaces(tris)
         return geometry.take_off(tris).join(geometry.volumes(whole), "guid").join(geometry.surface_summary(found), "guid", "left"), found
 
+    def mesh_stats(self) -> DataFrame:
+        named = meshes.merged(meshes.product_meshes(self.tables, "world")).join(self.products.select("guid", "entity"), "guid")
+        return reports.product_stats(named)
+
+    def write_gltf(self, path: str) -> None:
+        """The model as binary glTF; shapes that products share are stored once."""
+        fragments = durable(self.meshes("item"))
+        shapes, of = substrate.representations(fragments)
+        at = self.tables.products().select("guid", "entity", "placement_id").join(meshes.placements(self.tables), "placement_id", "left")
+        rows = of.join(at, "guid").join(styles.product_colours(self.tables, fragments), "guid", "left").select("guid", "entity", "rep_id", "matrix", "colour")
+        gltf.write_glb(rows, shapes.select("rep_id", "vertices", "indices"), path)
+
+    def hotswap(self, guid: str, vertices: list, triangles: list, path: str) -> dict:
+        """Writes the model with a product's body replaced; what was done."""
+        rows, stats = swap.hotswap(durable(step.entity_table(self.records)), guid, vertices, triangles, self.tables.schema)
+        step.write_step(rows, step_head(self.header), path)
+        return stats | {"path": path}
+
     def point_cloud(self, per_m2: float = 1000.0, seed: int = 42) -> DataFrame:
-        return geometry.point_cloud(geometry.triangles(meshes.merged(self.meshes())), per_m2, seed)
+        return geometry.point_cloud(geometry.triangles(meshes.merged(self.meshes(unit="m"))), per_m2, seed)
 
     def point_cloud_chunks(self, per_m2: float = 1000.0, seed: int = 42, chunk: int = 1_000_000):
         """The point cloud as lists of rows, fetched partition by partition."""

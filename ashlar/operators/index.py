@@ -40,6 +40,23 @@ def kept(f: Callable) -> Callable:
     return table
 
 
+def product_rows(records: DataFrame, schema: str) -> DataFrame:
+    """(.., step_id, ord, guid, entity, name, predefined_type, object_type, tag, placement_id, shape_id, mode) of the products among records(step_id, ord, type, args, ..).
+
+    Each product is one record, so records of any number of files of a schema may come together; further columns stay.
+    """
+    rows = records.where(F.col("type").isin(*classes.product_names(schema))).withColumn("f", step.split_fields("args"))
+    picked = step.last_enum(F.col("f"))
+    if classes.resolve_schema(schema) == "IFC2X3":
+        predefined = F.when(F.col("type").isin(*NO_PREDEFINED_2X3), None).otherwise(picked)
+    else:
+        third = step.enum(F.get("f", F.size("f") - 3))
+        predefined = F.when(F.col("type").isin(*OPENING_FILLERS) & (F.size("f") >= 11), third).otherwise(picked)
+    more = [c for c in records.columns if c not in ("step_id", "ord", "type", "args", "raw")]
+    out = rows.select(*more, "step_id", "ord", step.string(_f(0)).alias("guid"), classes.canonical(F.col("type")).alias("entity"), step.string(_f(2)).alias("name"), predefined.alias("predefined_type"), step.string(_f(4)).alias("object_type"), step.string(_f(7)).alias("tag"), step.ref(_f(5)).alias("placement_id"), step.ref(_f(6)).alias("shape_id"))
+    return out.withColumn("mode", classes.mode_column(F.col("entity"), schema))
+
+
 class Tables:
     """Tables over records(file_id, ord, step_id, type, args, raw) of one model, each worked out on first use.
 
@@ -66,16 +83,7 @@ class Tables:
 
     @kept
     def products(self) -> DataFrame:
-        rows = self.of(*classes.product_names(self.schema))
-        old = self.schema.startswith("IFC2X3")
-        picked = step.last_enum(F.col("f"))
-        if old:
-            predefined = F.when(F.col("type").isin(*NO_PREDEFINED_2X3), None).otherwise(picked)
-        else:
-            third = step.enum(F.get("f", F.size("f") - 3))
-            predefined = F.when(F.col("type").isin(*OPENING_FILLERS) & (F.size("f") >= 11), third).otherwise(picked)
-        out = rows.select("step_id", "ord", step.string(_f(0)).alias("guid"), classes.canonical(F.col("type")).alias("entity"), step.string(_f(2)).alias("name"), predefined.alias("predefined_type"), step.string(_f(4)).alias("object_type"), step.string(_f(7)).alias("tag"), step.ref(_f(5)).alias("placement_id"), step.ref(_f(6)).alias("shape_id"))
-        return out.withColumn("mode", classes.mode_column(F.col("entity"), self.schema))
+        return product_rows(self.records, self.schema)
 
     @kept
     def storeys(self) -> DataFrame:

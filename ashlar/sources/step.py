@@ -241,20 +241,8 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
     return records.groupBy("file_id", "step_id").agg(F.count("*").alias("n")).groupBy("file_id").agg(F.sum(F.col("n") - 1).alias("duplicates"))
 
 
-def header(path: str) -> dict:
-    """FILE_DESCRIPTION, FILE_NAME and FILE_SCHEMA from the first 64 KB, with size, mtime and cache key.
-
-    Only both ends of the file are read, or the first 64 KB of a zip's member.
-    """
-    name, size = files(path)[0]
-    files_of, inner = store(name)
-    with opened(name) as f:
-        head = f.read_at(min(size, 4 << 20), 0)
-        tail = f.read_at(min(size, 4 << 20), max(0, size - (4 << 20)))
-        raw = head[:65536]
-        if raw[:4] == b"PK\x03\x04":
-            with zipfile.ZipFile(f) as z, z.open(member(z)) as inside:
-                raw = inside.read(65536)
+def header_fields(raw: bytes) -> dict:
+    """What FILE_DESCRIPTION, FILE_NAME and FILE_SCHEMA say in the first bytes of a file."""
     lossy = False
     try:
         text = raw.decode("utf-8")
@@ -277,11 +265,30 @@ def header(path: str) -> dict:
 
     about, name, schema = fields("FILE_DESCRIPTION"), fields("FILE_NAME"), fields("FILE_SCHEMA")
     return {
-        "path": path, "size_bytes": size, "mtime_ns": files_of.get_file_info(inner).mtime_ns, "schema": (many(schema, 0) or [None])[0], "description": many(about, 0), "name": one(name, 0), "time_stamp": one(name, 1), "author": many(name, 2),
-        "organization": many(name, 3), "preprocessor_version": one(name, 4), "originating_system": one(name, 5), "authorisation": one(name, 6), "cache_key": cache_key(size, head, tail), "encoding_lossy": lossy,
+        "schema": (many(schema, 0) or [None])[0], "description": many(about, 0), "name": one(name, 0), "time_stamp": one(name, 1), "author": many(name, 2), "organization": many(name, 3), "preprocessor_version": one(name, 4),
+        "originating_system": one(name, 5), "authorisation": one(name, 6), "encoding_lossy": lossy,
     }
 
 
+def header(path: str) -> dict:
+    """FILE_DESCRIPTION, FILE_NAME and FILE_SCHEMA from the first 64 KB, with size, mtime and cache key.
+
+    Only both ends of the file are read, or the first 64 KB of a zip's member.
+    """
+    name, size = files(path)[0]
+    files_of, inner = store(name)
+    with opened(name) as f:
+        head = f.read_at(min(size, 4 << 20), 0)
+        tail = f.read_at(min(size, 4 << 20), max(0, size - (4 << 20)))
+        raw = head[:65536]
+        if raw[:4] == b"PK\x03\x04":
+            with zipfile.ZipFile(f) as z, z.open(member(z)) as inside:
+                raw = inside.read(65536)
+    return {
+        "path": path, "size_bytes": size, "mtime_ns": files_of.get_file_info(inner).mtime_ns, "cache_key": cache_key(size, head, tail),
+    } | header_fields(raw)
+
+
 def cache_key(size: int, head: bytes, tail: bytes, version: str = "1") -> str:
     """A short hash of a version, the size and both ends of a file, 4 MB each."""
     return hashlib.sha256(version.encode() + str(size).encode() + head + tail).hexdigest()[:16]
