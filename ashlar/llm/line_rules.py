@@ -20,14 +20,25 @@ CLOSING = ".!?:;…。！？।"
 AFTER_CLOSING = "\"'»”’)] \t\r"
 #: Separators of navigation bars.
 SEPARATORS = "|»›•·"
-#: Whole lines that are navigation.
-NAVIGATION = frozenset("home menu next previous share tweet print login log-in sign-up subscribe".split()) | {"back to top", "skip to content", "log in", "sign up", "read more", "click here"}
-#: Phrases of boilerplate; they condemn lines of at most BOILERPLATE_WORDS words.
+# Whole lines that are navigation, in four languages.
+NAVIGATION = frozenset(
+    "home menu next previous share tweet print login log-in sign-up subscribe startseite menü weiter zurück teilen drucken anmelden abmelden inicio menú siguiente anterior compartir imprimir accueil suivant précédent partager imprimer connexion".split()
+) | {
+    "back to top", "skip to content", "log in", "sign up", "read more", "click here", "nach oben", "zum inhalt", "mehr lesen", "hier klicken", "volver arriba", "leer más", "iniciar sesión", "haut de page", "lire la suite", "se connecter",
+}
+#: Phrases of boilerplate in four languages; they condemn lines of at most BOILERPLATE_WORDS words.
 BOILERPLATE_WORDS = 16
 BOILERPLATE = (
     "lorem ipsum", "enable javascript", "javascript is disabled", "javascript is required", "we use cookies", "site uses cookies", "cookie policy",
     "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here to", "subscribe to our newsletter", "powered by", "page not found", "access denied",
+    "javascript aktivieren", "wir verwenden cookies", "diese website verwendet cookies", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "klicken sie hier", "newsletter abonnieren", "seite nicht gefunden", "zugriff verweigert",
+    "habilitar javascript", "utilizamos cookies", "este sitio usa cookies", "política de privacidad", "términos de uso", "todos los derechos reservados", "haga clic aquí", "suscríbase a nuestro boletín", "página no encontrada", "acceso denegado",
+    "activer javascript", "nous utilisons des cookies", "ce site utilise des cookies", "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "cliquez ici", "abonnez-vous à notre", "page non trouvée", "accès refusé",
 )
+#: A line is a list of links if these make up half of its characters.
+LINK = re.compile(r"(?:https?://|www\.)\S+")
+#: So many neighbouring lines of at most MENU_WORDS words without a sentence's end are a menu, whatever the language.
+MENU_LINES, MENU_WORDS = 6, 3
 #: A word with a tail of symbols.
 _SYMBOL_WORD = re.compile(r"[#*$%&|<>!]{2,}(?:\s|$)")
 
@@ -38,6 +49,9 @@ def line_fault(line: str) -> str | None:
     n = len(words)
     if not n:
         return None
+    if "://" in line or "www." in line:
+        if 2 * sum(len(x) for x in LINK.findall(line)) >= len(line.strip()):
+            return "links"
     bars = sum(map(line.count, SEPARATORS))
     if bars >= 3 and 4 * bars >= n:
         return "navigation"
@@ -56,6 +70,23 @@ def line_fault(line: str) -> str | None:
     return None
 
 
+def menus(lines: list[str]) -> set[int]:
+    """Places of lines that stand in a run of MENU_LINES or more short ones without a sentence's end; blank lines do not end a run."""
+    out: set[int] = set()
+    run: list[int] = []
+    for i, line in enumerate([*lines, "end " * (MENU_WORDS + 1)]):
+        bare = line.strip(WHITE)
+        if not bare:
+            continue
+        if len(bare.split(None, MENU_WORDS)) <= MENU_WORDS and bare.rstrip(AFTER_CLOSING)[-1:] not in CLOSING:
+            run.append(i)
+            continue
+        if len(run) >= MENU_LINES:
+            out |= set(run)
+        run = []
+    return out
+
+
 def repeated_words(words: list, width: int = 5) -> int:
     """Words inside windows of `width` words that occur more than once in the text, the first included."""
     n = len(words) - width + 1
@@ -98,7 +129,8 @@ def measure(text: str | None) -> dict:
     lines = text.split("\n")
     seen: set[str] = set()
     repeats, kept, faults, lost = 0, [], [], 0
-    for line in lines:
+    menu = menus(lines) if len(lines) >= MENU_LINES else set()
+    for i, line in enumerate(lines):
         size = len(line)
         if not line.strip(WHITE):
             kept.append(line)
@@ -106,7 +138,7 @@ def measure(text: str | None) -> dict:
         if line in seen:
             repeats += 1
         seen.add(line)
-        fault = line_fault(line)
+        fault = "menu" if i in menu else line_fault(line)
         if fault:
             faults.append(fault)
             lost += size

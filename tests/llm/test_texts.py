@@ -115,6 +115,78 @@ def test_line_faults():
     assert line_rules.line_fault("A heading") is None
 
 
+def plain_verdict(text):
+    """Which lines go and whether the document stays, stated rule by rule over words and characters."""
+    lines = (text or "").split("\n")
+    blank = [not re.search(r"[^\x20\x09-\x0D]", x) for x in lines]
+    ended = [bool(re.search(r"[.!?:;…。！？।][\"'»”’)\] \t\r]*$", x.strip(" \t\n\x0b\x0c\r"))) for x in lines]
+    solid = [i for i in range(len(lines)) if not blank[i]]
+    short = [not ended[i] and len(lines[i].split()) <= 3 for i in solid]
+    menu, k = set(), 0
+    while k < len(solid):
+        j = k
+        while j < len(solid) and short[j]:
+            j += 1
+        if j - k >= 6:
+            menu |= set(solid[k:j])
+        k = max(j, k + 1)
+    gone = set()
+    for i in solid:
+        x, w = lines[i], lines[i].split()
+        links = sum(len(m) for m in re.findall(r"(?:https?://|www\.)\S+", x))
+        bars = sum(c in "|»›•·" for c in x)
+        low = x.lower()
+        faults = [
+            i in menu, links and 2 * links >= len(x.strip()), bars >= 3 and 4 * bars >= len(w), len(w) <= 3 and low.strip(" .!>»") in line_rules.NAVIGATION, len(w) <= 16 and any(b in low for b in line_rules.BOILERPLATE),
+            len(w) >= 5 and sum(c in "#*$%&|<>!" for c in x) > len(w) and 2 * len(re.findall(r"[#*$%&|<>!]{2,}(?:\s|$)", x)) > len(w), len(w) >= 10 and 4 * len(set(w)) < len(w), len(w) >= 8 and not re.search(r"[.!?:;…。！？।][\"'»”’)\] \t\r]*$", x),
+        ]
+        if w and any(faults):
+            gone.add(i)
+    n, _, _, _, again = plain_counts(text)
+    lost = sum(len(lines[i]) for i in gone)
+    return "\n".join(x for i, x in enumerate(lines) if i not in gone), n >= 10 and 100 * again <= 20 * n and 2 * lost <= sum(map(len, lines)), len(gone)
+
+
+def test_line_verdicts_match_plain_rules(spark):
+    sound = "A sound sentence of nine words ends right here."
+    texts = [None, "", "\n".join(["Startseite", "Produkte", "Über uns", "", "Kontakt", "Hilfe", "Karte", sound, sound.lower()]), f"{sound}\nhttps://a.example/b www.c.example\nWir verwenden Cookies\nTodos los derechos reservados 2020\n{sound} x."]
+    texts += ["Home | News | Help | Login\n" + sound, "buy!! now!! cheap!! pills!! here!!\n" + sound * 2, "one\ntwo\nthree\nfour\nfive\n" + sound + " " + sound, "this line stops in the middle of a long\n" + sound]
+    texts += [r.text for name in ("sf0.001",) for r in spark.read.parquet(f"/root/testdata/{name}/documents.parquet").select("text").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_rules.line_rules(docs).collect()}
+    for i, t in enumerate(texts):
+        text, kept, n = plain_verdict(t)
+        assert (got[i].cleaned_text, got[i].kept, got[i].n_lines_removed) == (text, kept, n), t
+    assert got[2].n_lines_removed == 6 and got[3].n_lines_removed == 3
+
+
+def test_normal_equations_equal_one_dense_solve(spark):
+    """The matrices summed by partition, and the ridge weights, against numpy over all rows; clashing columns and repeated rows."""
+    rng = np.random.default_rng(4)
+    stats = rng.normal(2, 3, (90, len(quality.NAMES)))
+    stats[:30] = stats[30:60]
+    y = (stats[:, 0] > 2).astype(float)
+    rows = spark.createDataFrame([(int(i % 2), s.tolist(), float(v), "x") for i, (s, v) in enumerate(zip(stats, y, strict=True))], "part int, stats array<double>, y double, score string").repartition(7)
+    fourier = quality.Fourier(stats.mean(0), stats.std(0))
+    sums = quality.normal_equations(rows, fourier)
+    x = fourier(stats)
+    for part in (0, 1):
+        own = np.hstack([x[part::2], y[part::2, None]])
+        assert np.allclose(sums[part], own.T @ own)
+    n = len(x)
+    hold = np.diag([quality.RIDGE * n] * (x.shape[1] - 1) + [1e-9 * n])
+    assert np.allclose(quality.ridge(sums[0] + sums[1]), np.linalg.solve(x.T @ x + hold, x.T @ y), atol=1e-6)
+
+
+def test_scores_do_not_read_other_columns(spark):
+    rows = [(i, f"word{i % 7} " * (5 + i), "en", float(i), 1) for i in range(60)] + [(3, "word3 " * 8, "de", 0.0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, quality int")
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(60)], "doc_id long, quality int, score int")
+    first = {(r.doc_id, r.score) for r in quality.score_quality(docs, labels).collect()}
+    second = {(r.doc_id, r.score) for r in quality.score_quality(docs.select("doc_id", "text"), labels).collect()}
+    assert len(first) == 60 and {(i, round(s, 9)) for i, s in first} == {(i, round(s, 9)) for i, s in second}
+
+
 def test_network_gradient_is_right():
     network = language.Network(["a", "b", "c"], hidden=4, embed=3)
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
@@ -226,6 +298,35 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
+def test_pipeline_on_planted_cases_and_clashing_columns(spark):
+    """Exact and near copies go, a passage in mid-line stays once, leaked items go, clean documents stay as they are."""
+    rng = random.Random(21)
+    pool = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' AND n_chars > 1500").select("text").limit(60).collect()]
+    vocabulary = sorted({w for t in pool for w in t.split() if w.isalpha()})
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").limit(2).collect()]
+    clean = [prose(200) for _ in range(8)]
+    passage = prose(70)
+    copy = clean[0].split()
+    near = " ".join([*copy[:100], "different", *copy[101:]])
+    carriers = [f"{prose(60)} {passage} {prose(40)}" for _ in range(3)]
+    leaked = [f"{prose(80)} {items[0]} {prose(50)}"]
+    texts = [*clean, clean[1], clean[1], *carriers, *leaked, near]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1, 2, 3, "g") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int, _doc int, _hash int, _own int, _gone string").repartition(3)
+    trained = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = trained.where("doc_id > 100").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("int").alias("n_chars"), F.lit(1).alias("_doc"), F.lit(2).alias("_hash"), F.lit(3).alias("_own"), F.lit("g").alias("_gone"))
+    now = docs.unionByName(more)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        now = stage(step(spark, now, SF), "planted")
+        assert now.columns == docs.columns
+    left = {r.doc_id: r.text for r in now.where("doc_id < 1000").collect()}
+    assert {i: left.get(i) for i in range(8)} == dict(enumerate(clean))
+    assert not {8, 9, 13, 14} & set(left)
+    assert [passage in left[i] for i in (10, 11, 12)] == [True, False, False]
+    assert left[10] == carriers[0] and all(len(left[i].split()) == 100 for i in (11, 12))
+    assert now.select("_doc", "_gone").distinct().count() == 1
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(10_001, None, "en", "s", 0), (10_002, "", "en", "s", 0), (10_003, "12 34", "en", "s", 5), (None, docs.first().text, "en", "s", 1)], docs.schema)
