@@ -90,6 +90,17 @@ def _sweep() -> None:
             return
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of df has them in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z and nothing else. Pure ASCII texts take the fast built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

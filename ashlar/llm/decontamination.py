@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage, table
+from .common import ascii_lower, spare, stage, table
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Sketch values of an item beyond the least number that makes the search complete.
@@ -96,9 +96,10 @@ def _key(doc_id: Column) -> Column:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    found = contaminated(docs, benchmark).select(_key(F.col("doc_id")).alias("_doc"), "_hash").distinct()
-    marked = docs.withColumn("_own", F.xxhash64("text"))
-    return marked.join(found, (_key(F.col("doc_id")) == F.col("_doc")) & (F.col("_own") == F.col("_hash")), "left_anti").select(*docs.columns)
+    names = spare(docs, "_doc", "_hash")
+    found = contaminated(docs, benchmark).select(_key(F.col("doc_id")).alias(names[0]), F.col("_hash").alias(names[1])).distinct()
+    marked = docs.withColumns(dict(zip(names, (_key(F.col("doc_id")), F.xxhash64("text")), strict=True)))
+    return marked.join(found, names, "left_anti").select(*docs.columns)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import discard, free_shuffles, stage, table
+from .common import discard, free_shuffles, spare, stage, table
 from .components import hamming, link_buckets
 from .runs import cut_words, repeated_runs, split_words
 
@@ -276,10 +276,11 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     lines = F.sequence(F.col("paragraph"), F.col("paragraph") + F.col("n_lines") - 1)
     near = repeated_passages(docs, least_words=least_words).where("NOT kept").select("doc_id", "text_hash", F.explode(lines).alias("line"), F.lit(None).cast("struct<s:bigint,n:bigint>").alias("run"))
     same = repeated_runs(docs).where("NOT kept").select("doc_id", "text_hash", F.lit(None).cast("long").alias("line"), F.struct(F.col("first_word").alias("s"), F.col("n_words").alias("n")).alias("run"))
-    gone = near.union(same).groupBy(_key(F.col("doc_id")).alias("_holder"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line").alias("_gone"), F.collect_set("run").alias("_runs"))
-    joined = docs.withColumn("_own", F.xxhash64("text")).join(gone, (_key(F.col("doc_id")) == F.col("_holder")) & (F.col("_own") == F.col("_hash")), "left")
-    left = _cut(F.when(F.col("_gone").isNotNull(), F.col("text")), "_gone", F.col("_runs.s"), F.col("_runs.n"))
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    doc, own, lost, runs = spare(docs, "_doc", "_hash", "_gone", "_runs")
+    gone = near.union(same).groupBy(_key(F.col("doc_id")).alias(doc), F.col("text_hash").alias(own)).agg(F.collect_set("line").alias(lost), F.collect_set("run").alias(runs))
+    joined = docs.withColumns({doc: _key(F.col("doc_id")), own: F.xxhash64("text")}).join(gone, [doc, own], "left")
+    left = _cut(F.when(F.col(lost).isNotNull(), F.col("text")), lost, F.col(f"{runs}.s"), F.col(f"{runs}.n"))
+    out = joined.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(left)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)

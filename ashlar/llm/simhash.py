@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import spare, stage, table
 from .components import hamming, link_buckets
 
 SEED = 42
@@ -104,11 +104,13 @@ def first_of_each_group(docs: DataFrame, max_distance: int = 4, width: int = 4)
     """
     rows = linked(docs, max_distance, width).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("n"))).alias("k")).select("k.*")
-    kept = stage(best.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_doc"), F.col("text_hash").alias("_hash"), "n"), "simhash-kept")
-    own = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_hash": F.xxhash64("text")})
-    out = own.join(kept.select("_doc", "_hash"), ["_doc", "_hash"], "left_semi")
+    names = spare(docs, "_doc", "_hash")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    kept = stage(best.select(key.alias(names[0]), F.col("text_hash").alias(names[1]), "n"), "simhash-kept")
+    own = docs.withColumns(dict(zip(names, (key, F.xxhash64("text")), strict=True)))
+    out = own.join(kept.select(*names), names, "left_semi")
     if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["_doc", "_hash"])
+        out = out.dropDuplicates(names)
     return out.select(*docs.columns)
 
 
