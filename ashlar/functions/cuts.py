@@ -76,13 +76,19 @@ def _side(polygon: np.ndarray, point: np.ndarray, normal: np.ndarray, eps: float
     return np.where(np.abs(d) <= eps, 0.0, d)
 
 
-def outside(polygons: list[np.ndarray], planes: Planes, eps: float) -> list[np.ndarray]:
-    """The parts of convex polygons that lie outside a convex solid, split along its planes."""
+def outside(polygons: list[np.ndarray], planes: Planes, eps: float, facing: np.ndarray | None = None) -> list[np.ndarray]:
+    """The parts of convex polygons that lie outside a convex solid, split along its planes.
+
+    What lies on a plane counts as inside, but for planes whose normal is `facing`.
+    """
     out = []
     for polygon in polygons:
         rest = polygon
         for point, normal in zip(*planes, strict=True):
-            rest, gone = _split(rest, _side(rest, point, normal, eps))
+            d = _side(rest, point, normal, eps)
+            if facing is not None and normal @ facing > 1 - 1e-9:
+                d = np.where(d == 0, eps, d)
+            rest, gone = _split(rest, d)
             if len(gone) >= 3:
                 out.append(gone)
             if len(rest) < 3:
@@ -162,8 +168,8 @@ def subtract(host: Mesh, cutters: list[Planes]) -> Mesh:
             for other, planes in enumerate(cutters):
                 if other < k:
                     walls = outside(walls, planes, eps)
-                elif other > k:
-                    walls = outside(walls, planes, -eps)
+                elif other > k:  # of walls that two cutters share, the later one's goes
+                    walls = outside(walls, planes, eps, normals[i])
             skin += walls
     tris = [p[[0, i, i + 1]] for p in skin for i in range(1, len(p) - 1)]
     if not tris:
