@@ -46,6 +46,8 @@ def decode_bytes(raw: bytes) -> str:
 
 def split_args(body: str) -> list[str]:
     """The fields between top-level commas; quotes, parentheses and comments are respected."""
+    if "(" not in body and "'" not in body and "/" not in body:
+        return [x.strip() for x in body.split(",")] if body.strip() else []
     out, depth, current = [], 0, []
     for token in _TOKEN.findall(body):
         if token == "," and depth == 0:
@@ -63,43 +65,49 @@ def split_args(body: str) -> list[str]:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _split_slow(body: pd.Series) -> pd.Series:
+def split_fields(body: pd.Series) -> pd.Series:
+    """split_args for a column, in Arrow batches; null stays null."""
     return body.map(lambda b: None if b is None else split_args(b))
 
 
-_STRING = r"'[^']*+(?:''[^']*+)*+'"
-_FLAT = r"\((?:[^'()]++|" + _STRING + r")*+\)"
-_NESTED = r"\((?:[^'()]++|" + _STRING + "|" + _FLAT + r")*+\)"
-_DEEP = r"\((?:[^'()]++|" + _STRING + "|" + _NESTED + r")*+\)"
-#: The next field: from the start or a comma to the next comma outside strings and up to three nested lists.
-_FIELD = r"\G(?:^|,)((?:[^',()]++|" + _STRING + "|" + _DEEP + r")*+)"
-#: Longer bodies go to Python: the JVM's matcher recurses over the parts of a list.
-_NATIVE_CHARS = 2000
+_PIECE = r"(''|\\\\|\\S\\.|\\X\\[0-9A-Fa-f]{2}|\\X2\\(?:[0-9A-Fa-f]{4})*+\\X0\\|\\X4\\(?:[0-9A-Fa-f]{8})*+\\X0\\|\\P[A-I]\\|[^'\\]++|['\\])"
 
 
-def split_fields(body: Column | str) -> Column:
-    """split_args for a column; null stays null.
+def _units(hexes: Column) -> Column:
+    """Text of UTF-16 units in hex; units that are half a character become U+FFFD."""
+    spaced = F.regexp_replace(F.upper(hexes), "(.{4})", "$1 ")
+    high, low = "D[89AB][0-9A-F]{2} ", "D[C-F][0-9A-F]{2} "
+    whole = F.regexp_replace(F.regexp_replace(spaced, f"{high}(?!{low})", "FFFD "), f"(?<!{high}){low}", "FFFD ")
+    return F.decode(F.unhex(F.replace(whole, F.lit(" "), F.lit(""))), "UTF-16BE")
 
-    Bodies of up to _NATIVE_CHARS characters without comments and without deeper lists are split in the JVM, all
-    others by split_args itself: native fields that do not add up to the whole body are not used.
-    """
-    body = F.col(body) if isinstance(body, str) else body
-    length = F.char_length(body)
-    total = lambda f: F.aggregate(f, F.size(f) - 1, lambda n, x: n + F.char_length(x))
-    # transform() over an array of one binds the fields, so that the pattern runs once.
-    checked = F.get(F.transform(F.array(F.regexp_extract_all(body, F.lit(_FIELD), F.lit(1))), lambda f: F.when(total(f) == length, F.transform(f, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))), F.lit(0))
-    native = F.when((length <= _NATIVE_CHARS) & ~F.contains(body, F.lit("/*")) & (F.trim(body) != ""), checked)
-    return F.coalesce(native, _split_slow(F.when(native.isNull(), body)))
 
+def _points(hexes: Column) -> Column:
+    """Text of code points in eight hex digits each; values that are no character become U+FFFD."""
+    hex4 = lambda n: F.lpad(F.hex(n), 4, "0")
 
-@F.pandas_udf(StringType())
-def _decode_slow(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: None if b is None else decode_text(b))
+    def one(h: Column) -> Column:
+        n = F.conv(h, 16, 10).cast("bigint")
+        above = n - 0x10000
+        pair = F.concat(hex4(F.lit(0xD800) + F.shiftright(above, 10)), hex4(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
+        return F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "FFFD").when(n >= 0x10000, pair).otherwise(hex4(n))
+
+    return F.decode(F.unhex(F.array_join(F.transform(F.regexp_extract_all(hexes, F.lit("(.{8})"), F.lit(1)), one), "")), "UTF-16BE")
+
+
+def _piece(p: Column) -> Column:
+    """What one piece of a string literal stands for."""
+    inner = lambda n: F.substr(p, F.lit(n), F.greatest(F.char_length(p) - n - 3, F.lit(0)))
+    last = F.substr(p, F.lit(4), F.lit(1))
+    return (
+        F.when(p == "''", "'").when(~p.startswith("\\") | (F.char_length(p) == 1), p).when(p == "\\\\", "\\").when(p.startswith("\\S\\"), F.when(F.ascii(last) < 128, F.char(F.ascii(last) + 128)).otherwise(last))
+        .when(p.startswith("\\X\\"), F.char(F.conv(F.substr(p, F.lit(4), F.lit(2)), 16, 10).cast("int"))).when(p.startswith("\\X2\\"), _units(inner(5))).when(p.startswith("\\X4\\"), _points(inner(5))).otherwise("")
+    )
 
 
 def decode_string(body: Column) -> Column:
-    """decode_text for a column; texts without a backslash stay in the JVM."""
-    return F.when(~F.contains(body, F.lit("\\")), F.replace(body, F.lit("''"), F.lit("'"))).otherwise(_decode_slow(F.when(F.contains(body, F.lit("\\")), body)))
+    """decode_text for a column, in the JVM; texts without a backslash need no taking apart."""
+    slow = F.array_join(F.transform(F.regexp_extract_all(body, F.lit(_PIECE), F.lit(1)), _piece), "")
+    return F.when(~F.contains(body, F.lit("\\")), F.replace(body, F.lit("''"), F.lit("'"))).otherwise(slow)
 
 
 def kind(field: Column) -> Column:
@@ -121,8 +129,8 @@ def enum(field: Column) -> Column:
 
 def string(field: Column) -> Column:
     """A string literal's decoded text, null for anything else."""
-    inner = F.when(field.rlike(r"^'[\s\S]*'$"), F.substr(field, F.lit(2), F.greatest(F.char_length(field) - 2, F.lit(0))))
-    return decode_string(inner)
+    quoted = field.startswith("'") & field.endswith("'") & (F.char_length(field) >= 2)
+    return F.when(quoted, decode_string(F.substr(field, F.lit(2), F.char_length(field) - 2)))
 
 
 def ref(field: Column) -> Column:

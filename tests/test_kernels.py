@@ -85,7 +85,14 @@ def test_units():
         units.factor("parsec")
 
 
-def test_fields_split_in_the_jvm_as_in_python(spark):
+def test_strings_decode_in_the_jvm_as_in_python(spark):
+    bodies = ["", "plain", "it''s", "a\\\\b", "\\S\\i", "\\X\\E9\\X\\00x", "\\X2\\00E9D83DDE00\\X0\\!", "\\X2\\D83D0041DE00\\X0\\", "\\X2\\D83DD83DDE00DE00\\X0\\", "\\X4\\0001F60000000041\\X0\\", "\\X4\\0000D80000110000\\X0\\", "\\X2\\\\X0\\", "\\PA\\x", "\\X2\\00e\\X0\\", "\\", "a\\", "\\S\\é", "''\\X\\41''", "\\q'"]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", step_text.decode_string(F.col("b")).alias("t")).collect()
+    for r in rows:
+        assert r.t == step_text.decode_text(bodies[r.i]), bodies[r.i]
+
+
+def test_fields_split_as_token_by_token(spark):
     bodies = ["'g',$,'A''s; /* #9=X(); */ (y)',$", "'a',(#1,#2),.T.,1.5", "", " ", "$", ",a", "a,", ",", "(1,(2,(3,(4,5)))),'x'", " 'it''s' ,('a,b',(1,2)),$ , #5", None, "IFCLABEL('x, ''y'')'),$", "a/*c,d*/,b", "x,'un", "((1.,2.),(3.,4.)),((1,2),(2,3))", "(" + "1," * 3000 + "1),x", "',', ')('", "a\n,\tb"]
     rows = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", step_text.split_fields("b").alias("f"), step_text.string(F.get(step_text.split_fields(F.col("b")), F.lit(0))).alias("s")).collect()
     for r in rows:
