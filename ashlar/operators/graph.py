@@ -75,24 +75,22 @@ def next_hop(aggregates: DataFrame, contained_in: DataFrame) -> DataFrame:
 
 
 def first_above(nodes: DataFrame, hops: DataFrame, wanted: DataFrame, limit: int = WALK_LIMIT) -> DataFrame:
-    """(guid, found): the first node of wanted(guid) on each node's walk along hops, null if there is none.
+    """(guid, found): the first node of wanted(guid) on each node's walk along hops, within limit hops; null if there is none.
 
-    Only nodes that hold others are walked, one join a level; what they find is then handed down to the many
-    that they hold by a single join.
+    Only nodes that hold others are walked, by doubling: each round a holder takes over the answer, or the reach, of the
+    one it has come to, so walks of sixteen hops take four joins. What holders find is handed down to the many that they hold by one join.
     """
-    marks = durable(wanted.select(F.col("guid").alias("mark")).distinct())
+    marks = wanted.select(F.col("guid").alias("found")).distinct()
     hops = durable(hops.where("hop IS NOT NULL").select("guid", "hop"))
-    holders = durable(hops.select(F.col("hop").alias("guid")).distinct().join(marks, F.col("guid") == F.col("mark"), "left"))
-    done = [holders.where("mark IS NOT NULL").select(F.col("guid").alias("hop"), F.col("guid").alias("found"))]
-    here = holders.where("mark IS NULL").select("guid", F.col("guid").alias("at"))
-    for _ in range(limit - 1):
-        moved = here.join(hops.withColumnRenamed("guid", "at"), "at").select("guid", F.col("hop").alias("at"))
-        marked = durable(moved.join(marks, F.col("at") == F.col("mark"), "left"))
-        done.append(marked.where("mark IS NOT NULL").select(F.col("guid").alias("hop"), F.col("at").alias("found")))
-        here = marked.where("mark IS NULL").select("guid", "at")
-        if here.isEmpty():
+    holders = hops.select(F.col("hop").alias("guid")).distinct()
+    reach = holders.join(marks, F.col("guid") == F.col("found"), "left").join(hops, "guid", "left")
+    reach = durable(reach.select("guid", "found", F.when(F.col("found").isNull(), F.col("hop")).alias("at"), F.when(F.col("found").isNull(), 1).otherwise(0).alias("dist")))
+    for _ in range(max(1, limit - 1).bit_length()):
+        if reach.where("at IS NOT NULL").isEmpty():
             break
-    answers = reduce(DataFrame.union, done)
+        ahead = reach.select(F.col("guid").alias("at"), F.col("found").alias("found_there"), F.col("at").alias("at_there"), F.col("dist").alias("further"))
+        reach = durable(reach.join(ahead, "at", "left").select("guid", F.coalesce("found", "found_there").alias("found"), F.when(F.col("found_there").isNull(), F.col("at_there")).alias("at"), (F.col("dist") + F.coalesce("further", F.lit(0))).alias("dist")))
+    answers = reach.where((F.col("dist") < limit) & F.col("found").isNotNull()).select(F.col("guid").alias("hop"), "found")
     return nodes.select("guid").distinct().join(hops.join(answers, "hop").select("guid", "found"), "guid", "left").select("guid", "found")
 
 

@@ -110,6 +110,25 @@ def test_pieces_of_a_file_hold_every_record_once():
             assert [(*r[:4], r[4].rstrip()) for a, b in pieces for r in step.scan(tricky[a:b], 0, b - a, a)] == [(*r[:4], r[4].rstrip()) for r in whole], (every, block)
 
 
+def test_walks_stop_at_their_limit_and_at_cycles(spark):
+    from ashlar.operators import graph
+
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("c1", "c2"), ("c2", "c1"), ("x", "c1"), ("y", "n30"), ("z", "top"), ("self", "self")]
+    hops, wanted = spark.createDataFrame(chain, "guid string, hop string"), spark.createDataFrame([("n40",), ("top",), ("n20",)], "guid string")
+    nodes = spark.createDataFrame([(a,) for a, _ in chain] + [("alone",)], "guid string")
+    for limit in (1, 2, 16, 25):
+        got = {r.guid: r.found for r in graph.first_above(nodes, hops, wanted, limit).collect()}
+        up, marks = dict(chain), {"n40", "top", "n20"}
+        for start, found in got.items():
+            at, want = start, None
+            for _ in range(limit):
+                at = up.get(at)
+                if at in marks:
+                    want = at
+                    break
+            assert found == want, (start, limit)
+
+
 def test_swapped_text():
     tri = swap.body_records(10, [(0, 0, 0), (1, 0, 0), (0, 1e-7, 0)], [(0, 1, 2)], True)
     assert tri[0] == (10, "IFCCARTESIANPOINTLIST3D", "((0.0,0.0,0.0),(1.0,0.0,0.0),(0.0,1.E-07,0.0))") and tri[-1][2] == "#10,$,.T.,((1,2,3)),$"
