@@ -20,8 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_query_equals_sql(spark, con, name):
+def check(spark, con, name):
     got = QUERIES[name](spark, SF)
     want = con.execute(SQL[name])
     columns = [d[0] for d in want.description]
@@ -30,6 +29,24 @@ def test_query_equals_sql(spark, con, name):
     assert same(got.select(*columns).collect()) == same(want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, con, name):
+    check(spark, con, name)
+
+
+@pytest.mark.parametrize("name", ["q_type_summary", "q_parent", "q_step_parse", "q_step_decode", "q_value_format", "q_mesh_surfaces", "q_mesh_quality", "q_clash_broad", "q_point_cloud", "q_floors_rule", "q_diff_changed"])
+def test_generated_code_equals_sql(spark, con, name):
+    """The session of the tests interprets expressions; these run as the code that sessions generate by default."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    spark.conf.set("spark.sql.codegen.factoryMode", "FALLBACK")
+    try:
+        check(spark, con, name)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_entry_and_lists(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
