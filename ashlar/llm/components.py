@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .common import discard, free_shuffles, stage
 
 
+#: Edges that a task writes while components are contracted; few edges are not dealt over many small files.
+TASK_EDGES = 100_000
+
+
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
@@ -34,7 +38,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        after = stage(small, f"{label}-edges")
+        after = stage(small.coalesce(max(edges.sparkSession.sparkContext.defaultParallelism, mark[0] // TASK_EDGES)), f"{label}-edges")
         discard(now)
         now = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
