@@ -59,13 +59,21 @@ class Exact(Protocol):
 SALTED = 4096
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A join of exploded tables that no side of is broadcast.
+
+    Spark takes a table to be no larger after an explode than before, and would send millions of rows through the driver.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def shared_buckets(members: DataFrame, label: str) -> DataFrame:
     """(bucket, node, lo, hi) of the buckets of members(bucket, node) with more than one node, as a written table.
 
     lo and hi are a bucket's smallest and largest node. Each node stands once in a bucket.
     """
     ends = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    return stage(members.join(ends, "bucket"), f"{label}-members")
+    return stage(sorted_join(members, ends, "bucket"), f"{label}-members")
 
 
 def link_buckets(members: DataFrame, near: Callable[[str, str], Column], label: str, light: DataFrame | None = None, exact: Exact | None = None) -> DataFrame:
@@ -107,7 +115,7 @@ def link_buckets(members: DataFrame, near: Callable[[str, str], Column], label:
     parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     few = side(dealt.where("component <> giant"), "x", "bucket", part, F.col("component").alias("cx"), "giant")
     many = side(dealt.where("component = giant"), "y", "bucket", parts)
-    linked = few.join(many, (few.bucket == many.bucket) & (few.part == many.part) & near("x", "y"), "left_semi")
+    linked = sorted_join(few, many, (few.bucket == many.bucket) & (few.part == many.part) & near("x", "y"), "left_semi")
     if exact is None:
         linked = linked.select(F.col("cx").alias("a"), F.col("giant").alias("b"))
     else:
@@ -118,7 +126,7 @@ def link_buckets(members: DataFrame, near: Callable[[str, str], Column], label:
     crowd = rest.groupBy("bucket").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("parts"))
     dealt_rest = known(rest.join(crowd, "bucket"))
     one, other = side(dealt_rest, "x", "bucket", part, F.col("component").alias("cx")), side(dealt_rest, "y", "bucket", parts, F.col("component").alias("cy"))
-    pairs = one.join(other, (one.bucket == other.bucket) & (one.part == other.part) & (F.col("cx") < F.col("cy")) & near("x", "y")).select(*order).distinct()
+    pairs = sorted_join(one, other, (one.bucket == other.bucket) & (one.part == other.part) & (F.col("cx") < F.col("cy")) & near("x", "y")).select(*order).distinct()
     return _merge(found, holds(stage(pairs, f"{label}-pairs")), label)
 
 
