@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import discard, free_shuffles, spare, stage, table
-from .components import hamming, link_buckets
+from .components import hamming, link_buckets, sorted_join
 from .runs import cut_words, repeated_runs, split_words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -220,7 +220,7 @@ class ExactJaccard:
         x = few.join(known.select(F.col("node").alias("node_x"), F.col("shingles").alias("sx")), "node_x")
         y = open_ones.join(known.select(F.col("node").alias("node_y"), F.col("shingles").alias("sy")), "node_y")
         holds = may_be_similar(self.similarity, "x", "y") & (jaccard(F.col("sx"), F.col("sy")) >= self.similarity)
-        return stage(x.join(y, (x.bucket == y.bucket) & (x.part == y.part) & holds, "left_semi").select(F.col("cx").alias("a"), F.col("giant").alias("b")).distinct(), "passage-to-giant")
+        return stage(sorted_join(x, y, (x.bucket == y.bucket) & (x.part == y.part) & holds, "left_semi").select(F.col("cx").alias("a"), F.col("giant").alias("b")).distinct(), "passage-to-giant")
 
 
 def _key(doc_id: Column) -> Column:
