@@ -103,7 +103,7 @@ def floor_labels(clustered: DataFrame, group: str = "model_name", prefix: str =
     also = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("clean")) if table else F.lit(None).cast("string")
     rows = clustered.withColumn("clean", clean).withColumn("override", F.coalesce(given, also))
     names = rows.groupBy(group, "cluster", "storey_name").agg(F.count("*").alias("c"), F.min(F.struct("elevation_mm", "storey_name")).alias("first"), F.first("clean").alias("clean"))
-    best = names.groupBy(group, "cluster").agg(F.max_by(F.struct("storey_name", "clean"), F.struct(F.col("c"), (-F.col("first.elevation_mm")).alias("low"), F.xxhash64("storey_name"))).alias("best"))
+    best = names.groupBy(group, "cluster").agg(F.min_by(F.struct("storey_name", "clean"), F.struct((-F.col("c")).alias("c"), F.col("first.elevation_mm"), F.col("storey_name"))).alias("best"))
     whole = rows.groupBy(group, "cluster").agg(F.avg("elevation_mm").alias("elevation_mm"), F.count("*").alias("n"), F.min(F.when(F.col("override").isNotNull(), F.struct("elevation_mm", "storey_name", "override")))["override"].alias("override"))
     label = F.coalesce("override", F.when(F.col("best.clean").isin(*final) if final else F.lit(False), F.col("best.clean")).when(F.col("best.clean").startswith(prefix) if prefix else F.lit(False), F.col("best.clean")).otherwise(F.concat(F.lit(prefix), F.col("best.clean"))))
     return whole.join(best, [group, "cluster"]).select(group, "cluster", "elevation_mm", "n", F.col("best.storey_name").alias("most_common"), label.alias("label"))
