@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.classes import CHANGES, resolve_schema
 from ..operators.index import product_rows
-from ..sources.step import RECORDS, check_trailer, header_fields, scan, unwrap
+from ..sources.step import RECORDS, batches_of, check_trailer, header_fields, scan, unwrap
 
 
 def stream_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,13 +23,12 @@ def stream_records(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = unwrap(content)
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                raw = unwrap(content.as_py())
                 check_trailer(raw)
                 schema = resolve_schema(header_fields(raw[:65536])["schema"]) or "IFC4"
-                rows = [(name, *record, schema) for record in scan(raw)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file_id", "ord", "step_id", "type", "args", "raw", "schema"])
+                for rows in batches_of(name.as_py(), scan(raw)):
+                    yield rows.append_column("schema", pa.array([schema] * rows.num_rows, pa.string()))
 
     shape = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(shape).load(folder)
