@@ -19,3 +19,22 @@ def test_volumes_joins_small_rows(spark):
     got = {r.guid: (r.mesh_quality, round(r.volume_m3, 6), r.method) for r in rows.collect()}
     assert {k: v for k, v in got.items() if k != "open"} == {f"g{i}": ("closed", 6.0 * (i + 1) ** 3, "mesh") for i in range(5)}
     assert got["open"][0] == "open_shell"
+
+
+def test_walks_and_meshes_are_kept_with_the_model(spark):
+    """References, placements and meshes of one model are worked out once, however many tables need them."""
+    from ashlar.operators import meshes
+    from ashlar.operators.index import Tables
+
+    rows = [
+        (1, "IFCWALL", "'0000000000000000000001',$,$,$,$,#2,#5,$"), (2, "IFCLOCALPLACEMENT", "$,#3"), (3, "IFCAXIS2PLACEMENT3D", "#4,$,$"), (4, "IFCCARTESIANPOINT", "(1.,2.,3.)"),
+        (5, "IFCPRODUCTDEFINITIONSHAPE", "$,$,(#6)"), (6, "IFCSHAPEREPRESENTATION", "$,'Body','CSG',(#7)"), (7, "IFCBLOCK", "#8,1.,1.,1."), (8, "IFCAXIS2PLACEMENT3D", "#9,$,$"), (9, "IFCCARTESIANPOINT", "(0.,0.,0.)"),
+    ]
+    t = Tables(spark.createDataFrame([("f", i, i, kind, args, "") for i, kind, args in rows], "file_id string, ord long, step_id long, type string, args string, raw string"))
+    assert meshes.placements(t) is meshes.placements(t)
+    world = meshes.product_meshes(t, "world").first()
+    assert world.source == "block" and min(world.vertices[0::3]) == 1.0 and max(world.vertices[2::3]) == 4.0
+    made = dict(t.made)
+    meshes.product_meshes(t, "local").collect()
+    assert t.made == made and {"_references", "_item_meshes"} <= made.keys()
+    assert meshes.product_meshes(t, "local", ["0000000000000000000001"]).count() == 1
