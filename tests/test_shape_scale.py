@@ -38,3 +38,33 @@ def test_walks_and_meshes_are_kept_with_the_model(spark):
     meshes.product_meshes(t, "local").collect()
     assert t.made == made and {"_references", "_item_meshes"} <= made.keys()
     assert meshes.product_meshes(t, "local", ["0000000000000000000001"]).count() == 1
+
+
+def test_glb_of_equal_shapes(spark, tmp_path):
+    """Shapes of equal bytes stand once in the file; nodes, meshes and materials are as glb() makes them."""
+    import numpy as np
+
+    from ashlar.operators import gltf
+
+    corners, indices = geometry.box_mesh(1.0, 2.0, 3.0)
+    shapes = spark.createDataFrame([("a", corners, indices), ("b", corners, indices), ("c", [c * 2 for c in corners[:24]], indices[:6])], "rep_id string, vertices array<double>, indices array<bigint>")
+    move = [float(i % 5 == 0) for i in range(15)] + [1.0]
+    rows = [("g1", "IfcWall", "a", move, [1.0, 0.0, 0.0, 1.0]), ("g2", "IfcWall", "a", None, None), ("g3", "é\"", "b", None, [1.0, 0.0, 0.0, 1.0]), ("g4", "x", "c", None, None), ("g5", "x", "none", None, None), ("g6", "x", "c", None, None)]
+    path = str(tmp_path / "out" / "m.glb")
+    gltf.write_glb(spark.createDataFrame(rows, "guid string, entity string, rep_id string, matrix array<double>, colour array<double>"), shapes, path)
+    head, body = gltf.read_glb(open(path, "rb").read())
+    old, _ = gltf.read_glb(gltf.glb([dict(zip(("guid", "entity", "rep_id", "matrix", "colour"), r, strict=True)) for r in rows], {r.rep_id: (np.array(r.vertices), np.array(r.indices)) for r in shapes.collect()}))
+    assert (len(head["nodes"]), len(head["meshes"]), len(head["materials"])) == (len(old["nodes"]), len(old["meshes"]), 1) == (5, 4, 1)
+    assert len(head["accessors"]) == 4 and len(old["accessors"]) == 6
+    assert len(body) == head["buffers"][0]["byteLength"] == sum(v["byteLength"] + -v["byteLength"] % 4 for v in head["bufferViews"])
+
+    def drawn(h):
+        return {n["name"]: (n["extras"], n.get("matrix"), h["accessors"][p["attributes"]["POSITION"]]["max"], h["accessors"][p["indices"]]["count"], h["materials"][p["material"]] if "material" in p else None) for n in h["nodes"] for p in h["meshes"][n["mesh"]]["primitives"]}
+
+    assert drawn(head) == drawn(old)
+    at = head["bufferViews"][head["accessors"][head["meshes"][head["nodes"][0]["mesh"]]["primitives"][0]["attributes"]["POSITION"]]["bufferView"]]
+    assert np.frombuffer(body, "<f4", 24, at["byteOffset"]).tolist() == corners
+    empty = str(tmp_path / "empty.glb")
+    gltf.write_glb(spark.createDataFrame(rows, "guid string, entity string, rep_id string, matrix array<double>, colour array<double>"), shapes.limit(0), empty)
+    head, body = gltf.read_glb(open(empty, "rb").read())
+    assert head["scenes"] == [{"nodes": []}] and "nodes" not in head
