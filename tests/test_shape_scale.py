@@ -68,3 +68,20 @@ def test_glb_of_equal_shapes(spark, tmp_path):
     gltf.write_glb(spark.createDataFrame(rows, "guid string, entity string, rep_id string, matrix array<double>, colour array<double>"), shapes.limit(0), empty)
     head, body = gltf.read_glb(open(empty, "rb").read())
     assert head["scenes"] == [{"nodes": []}] and "nodes" not in head
+
+
+def test_subset_deals_out_anchors_without_texts(spark, monkeypatch):
+    """A relationship with many anchors is one row with its text; a row for each anchor holds ids only."""
+    from ashlar.operators import subset
+    from ashlar.operators.durable import durable
+
+    n = 40
+    walls = [(10 + i, "IFCWALL", f"'{i:022d}',$") for i in range(n)]
+    rows = [(1, "IFCPROJECT", "'P000000000000000000000',$"), (2, "IFCBUILDING", "'N000000000000000000000',$,#3"), (3, "IFCLABEL", "'x'"), *walls, (500, "IFCRELCONTAINEDINSPATIALSTRUCTURE", "'e000000000000000000000',$,$,$,(" + ",".join(f"#{10 + i}" for i in range(n)) + "),#2")]
+    records = spark.createDataFrame([(i, i, t, a, f"#{i}={t}({a});") for i, t, a in rows], "ord long, step_id long, type string, args string, raw string")
+    tables = []
+    monkeypatch.setattr(subset, "durable", lambda df: tables.append(durable(df)) or tables[-1])
+    out = {r.step_id: r.raw for r in subset.subset(records, [f"{i:022d}" for i in (3, 7)]).collect()}
+    assert sorted(out) == [1, 2, 3, 13, 17, 500]
+    assert out[500].endswith(",(#13,#17),#2);")
+    assert all(t.dtypes and not {"raw", "pulled", "others"} & set(t.columns) for t in tables if "anchor_id" in t.columns)
