@@ -153,21 +153,21 @@ _REACH = ", reach AS (SELECT child, parent, 1 AS depth FROM ups UNION ALL SELECT
 
 @query(_REACH + "SELECT child AS guid, parent AS ancestor_guid, CAST(depth AS INTEGER) AS depth FROM reach")
 def q_ancestors(m: StarModel) -> DataFrame:
-    m.staged()
+    m.staged_keys()
     return graph.ancestors(graph.parents(m.aggregates(), m.contained_in()))
 
 
 @query(_REACH + "SELECT parent AS guid, child AS descendant_guid, CAST(depth AS INTEGER) AS depth FROM reach")
 def q_descendants(m: StarModel) -> DataFrame:
-    m.staged()
+    m.staged_keys()
     return graph.descendants(graph.children(m.aggregates(), m.contained_in()))
 
 
 @query(_REACH + "SELECT parent AS guid, count(*) AS n, CAST(max(depth) AS INTEGER) AS deepest FROM reach WHERE child IN (SELECT guid FROM products) GROUP BY parent")
 def q_products_in(m: StarModel) -> DataFrame:
-    m.staged()
-    down = graph.descendants(graph.children(m.aggregates(), m.contained_in()))
-    return graph.products_in(down, m.products()).groupBy("guid").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+    m.staged_keys()
+    down = graph.descendants(graph.children(m.aggregates(), m.contained_in()), m.product_guids())
+    return down.groupBy("guid").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
 @query(_REACH + "SELECT p.guid, f.building_guid FROM products p LEFT JOIN (SELECT child, arg_min(parent, depth) AS building_guid FROM reach WHERE parent LIKE 'N%' GROUP BY child) f ON f.child = p.guid")

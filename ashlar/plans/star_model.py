@@ -39,16 +39,33 @@ class StarModel:
 
     def lines(self) -> DataFrame:
         """lineitem with one row a key: the last by part, supplier, quantity, price and date."""
-        if self._lines is not None:
-            return self._lines
-        order = [F.desc(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")]
-        last = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order)
-        return self.raw("lineitem").withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place").withColumn("guid", F.concat(F.lit("L"), _text("l_orderkey"), F.lit("-"), _text("l_linenumber")))
-
-    def staged(self) -> StarModel:
-        """This model with lines() written once, for queries that read it several times."""
-        used = ["guid", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
-        self._lines = durable(self.lines().select(*used))
+        return self._lines if self._lines is not None else self._guided(self._last(self.raw("lineitem").columns))
+
+    def _last(self, columns: list[str]) -> DataFrame:
+        """lines() with some columns, keys included, and no guid; only what is asked for, or decides on it, is shuffled."""
+        keys, order = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+        more = [c for c in columns if c not in keys]
+        rows = self.raw("lineitem")
+        if not more:
+            return rows.select(*keys).distinct()
+        # The first columns of the order decide alone where no others are asked for.
+        deciding = next((order[:n] for n in range(1, len(order)) if set(more) <= set(order[:n])), order)
+        last = Window.partitionBy(*keys).orderBy(*map(F.desc, deciding))
+        return rows.select(*dict.fromkeys([*columns, *deciding])).withColumn("_place", F.row_number().over(last)).where("_place = 1").select(*columns)
+
+    @staticmethod
+    def _guided(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("guid", F.concat(F.lit("L"), _text("l_orderkey"), F.lit("-"), _text("l_linenumber")))
+
+    def staged(self, *columns: str) -> StarModel:
+        """This model with lines() written once, for queries that read it several times; with columns, the keys and those only."""
+        used = columns or ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+        self._lines = self._guided(durable(self._last(["l_orderkey", "l_linenumber", *used])))
+        return self
+
+    def staged_keys(self) -> StarModel:
+        """staged() without any column but the keys."""
+        self._lines = self._guided(durable(self._last(["l_orderkey", "l_linenumber"])))
         return self
 
     def products(self) -> DataFrame:
@@ -63,6 +80,11 @@ class StarModel:
         )
         return c.unionByName(o).unionByName(self.line_products())
 
+    def product_guids(self) -> DataFrame:
+        """(guid) of products(), from keys alone."""
+        of = lambda name, letter, key: self.raw(name).select(F.concat(F.lit(letter), _text(key)).alias("guid"))
+        return of("customer", "C", "c_custkey").union(of("orders", "O", "o_orderkey")).union(self.lines().select("guid"))
+
     def line_products(self) -> DataFrame:
         return self.lines().select(
             "guid", (F.col("l_orderkey") * 10 + F.col("l_linenumber") + 3_000_000_000).alias("step_id"), _mapped(F.concat("l_returnflag", "l_linestatus"), FLAGS).alias("entity"),
