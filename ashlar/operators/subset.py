@@ -43,13 +43,20 @@ def prune_anchors(rels: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def orphans(refs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(node): what only gone(node) and orphans of theirs refer to, in refs(src, dst), to a fixpoint."""
-    dead = durable(gone.select("node").distinct())
+    """(node): what only gone(node) and orphans of theirs refer to, in refs(src, dst), to a fixpoint.
+
+    A round counts the references of what has just gone; what has then lost as many as lead to it goes next. All other
+    references are neither joined nor counted again.
+    """
+    dead = fresh = durable(gone.select("node").distinct())
     found = dead.where(F.lit(False))
+    lost = None
     while True:
-        mine = refs.join(dead, refs.src == dead.node, "left_semi").select(F.col("dst").alias("node")).distinct()
-        alive = refs.join(dead, refs.src == dead.node, "left_anti").select(F.col("dst").alias("node")).distinct()
-        fresh = durable(mine.join(alive, "node", "left_anti").join(dead, "node", "left_anti"))
+        hits = durable(refs.join(fresh, refs.src == fresh.node, "left_semi").groupBy("dst").agg(F.count("*").alias("n")).where("dst IS NOT NULL"))
+        lost = hits if lost is None else durable(lost.union(hits).groupBy("dst").agg(F.sum("n").alias("n")))
+        held = refs.join(hits.select("dst"), "dst", "left_semi").groupBy("dst").agg(F.count("*").alias("held"))
+        over = held.join(lost, "dst").where("n = held").select(F.col("dst").alias("node"))
+        fresh = durable(over.join(dead, "node", "left_anti"))
         if fresh.isEmpty():
             return found
         found = found.union(fresh)

@@ -637,10 +637,10 @@ _DEAD_SQL = ", ".join(f"dead{k} AS (SELECT dst AS node FROM refs GROUP BY dst HA
 
 @query(_REFS_SQL + ", dead0 AS (SELECT guid AS node FROM products WHERE guid LIKE 'O%' AND object_type <> '5-LOW'), " + _DEAD_SQL + " SELECT node FROM dead4")
 def q_orphan_gc(m: StarModel) -> DataFrame:
-    m.staged()
+    m.staged("l_partkey", "l_suppkey")
     from ..operators.subset import orphans
 
-    gone = m.products().where("guid LIKE 'O%' AND object_type <> '5-LOW'").select(F.col("guid").alias("node"))
+    gone = m.other_products().where("guid LIKE 'O%' AND object_type <> '5-LOW'").select(F.col("guid").alias("node"))
     return orphans(_refs(m), gone)
 
 

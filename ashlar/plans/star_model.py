@@ -69,6 +69,10 @@ class StarModel:
         return self
 
     def products(self) -> DataFrame:
+        return self.other_products().unionByName(self.line_products())
+
+    def other_products(self) -> DataFrame:
+        """products() other than lines, whose ids begin with L."""
         null = F.lit(None).cast("string")
         c = self.raw("customer").select(
             F.concat(F.lit("C"), _text("c_custkey")).alias("guid"), (F.col("c_custkey") + 1_000_000_000).alias("step_id"), _mapped(F.col("c_mktsegment"), SEGMENTS).alias("entity"), F.col("c_name").alias("name"),
@@ -78,7 +82,7 @@ class StarModel:
             F.concat(F.lit("O"), _text("o_orderkey")).alias("guid"), (F.col("o_orderkey") + 2_000_000_000).alias("step_id"), _mapped(F.col("o_orderpriority"), PRIORITIES).alias("entity"), F.concat(F.lit("Order "), _text("o_orderkey")).alias("name"),
             F.col("o_orderstatus").alias("predefined_type"), F.col("o_orderpriority").alias("object_type"), _text("o_custkey").alias("tag"), null.alias("type_guid"),
         )
-        return c.unionByName(o).unionByName(self.line_products())
+        return c.unionByName(o)
 
     def product_guids(self) -> DataFrame:
         """(guid) of products(), from keys alone."""
