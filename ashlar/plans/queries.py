@@ -468,6 +468,7 @@ def q_view_products(m: StarModel) -> DataFrame:
 def q_substrate_nested(m: StarModel) -> DataFrame:
     from ..operators.substrate import nest
 
+    m.staged()
     nested = nest(m.lines().select("guid"), {"psets": _psets(m).select("guid", "prop_name", "value"), "quantities": _quantities(m).select("guid", "quantity_name", "value")})
     return nested.select("guid", F.size("psets").cast("long").alias("n_psets"), F.array_join(F.transform("psets", lambda p: p["prop_name"]), "|").alias("props"), F.size("quantities").cast("long").alias("n_quantities"))
 
