@@ -181,7 +181,7 @@ def q_building_of(m: StarModel) -> DataFrame:
   CASE WHEN t.guid IS NOT NULL THEN 'ifctype' WHEN p.object_type IS NOT NULL THEN 'objecttype' ELSE 'none' END AS type_source
 FROM products p JOIN product_storey ps ON ps.guid = p.guid LEFT JOIN storeys s ON s.guid = ps.storey_guid LEFT JOIN types t ON t.guid = p.type_guid""")
 def q_products_denorm(m: StarModel) -> DataFrame:
-    m.staged()
+    m.staged("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
     named = m.storeys().select(F.col("guid").alias("storey_guid"), F.col("name").alias("storey_name"))
     whole = _linked(m).join(_storey_of(m), "guid").join(named, "storey_guid", "left")
     return whole.select("guid", "entity", "name", classes.mode_column(F.col("entity")).alias("mode"), "storey_guid", "storey_name", "type_guid", "type_name", "type_source")
