@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import step_text as step
-from .index import Tables
+from .index import Tables, dealt
 
 
 def _f(i: int):
@@ -25,7 +25,7 @@ def surface_colours(tables: Tables) -> DataFrame:
 
 def item_colours(tables: Tables) -> DataFrame:
     """(item_id, colour) of the items that a styled item names; the first in the file counts. Style assignments are seen through."""
-    direct = tables.of("IFCSTYLEDITEM").select("ord", step.ref(_f(0)).alias("item_id"), F.explode(step.refs(_f(1))).alias("style"))
+    direct = dealt(tables.of("IFCSTYLEDITEM"), step.refs(_f(1)), "style", "ord", step.ref(_f(0)).alias("item_id"))
     through = tables.of("IFCPRESENTATIONSTYLEASSIGNMENT").select(F.col("step_id").alias("style"), F.explode(step.refs(_f(0))).alias("inner"))
     styled = direct.join(through, "style", "left").select("ord", "item_id", F.coalesce("inner", "style").alias("style_id"))
     return styled.where("item_id IS NOT NULL").join(surface_colours(tables), "style_id").groupBy("item_id").agg(F.min_by("colour", "ord").alias("colour"))
@@ -37,8 +37,8 @@ def material_colours(tables: Tables) -> DataFrame:
     through = tables.of("IFCPRESENTATIONSTYLEASSIGNMENT").select(F.col("step_id").alias("style"), F.explode(step.refs(_f(0))).alias("inner"))
     colours = styled.join(through, "style", "left").select("styled", F.coalesce("inner", "style").alias("style_id")).join(surface_colours(tables), "style_id")
     shown = tables.of("IFCSTYLEDREPRESENTATION").select(F.col("step_id").alias("rep"), F.explode(step.refs(_f(3))).alias("styled")).join(colours, "styled")
-    of = tables.of("IFCMATERIALDEFINITIONREPRESENTATION").select(F.explode(step.refs(_f(2))).alias("rep"), step.ref(_f(3)).alias("material")).join(shown, "rep")
-    used = tables.of("IFCRELASSOCIATESMATERIAL").select("ord", F.explode(step.refs(_f(4))).alias("item"), step.ref(_f(5)).alias("material")).join(tables.guids().select(F.col("step_id").alias("item"), "guid"), "item")
+    of = dealt(tables.of("IFCMATERIALDEFINITIONREPRESENTATION"), step.refs(_f(2)), "rep", step.ref(_f(3)).alias("material")).join(shown, "rep")
+    used = dealt(tables.of("IFCRELASSOCIATESMATERIAL"), step.refs(_f(4)), "item", "ord", step.ref(_f(5)).alias("material")).join(tables.guids().select(F.col("step_id").alias("item"), "guid"), "item")
     return used.join(of, "material").groupBy("guid").agg(F.min_by("colour", F.struct("ord", "styled")).alias("colour"))
 
 
