@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import classes, units
 from .operators import clash, facts, geometry, gltf, graph, meshes, openings, reports, styles, subset, substrate, summaries, swap
-from .operators.durable import durable
+from .operators.durable import durable, once_each
 from .operators.index import Tables
 from .sources import step
 
@@ -287,7 +287,7 @@ class Model:
 
     def hotswap(self, guid: str, vertices: list, triangles: list, path: str) -> dict:
         """Writes the model with a product's body replaced; what was done."""
-        rows, stats = swap.hotswap(durable(step.entity_table(self.records)), guid, vertices, triangles, self.tables.schema)
+        rows, stats = swap.hotswap(once_each(self.records, "file_id", "step_id"), guid, vertices, triangles, self.tables.schema)
         step.write_step(rows, step_head(self.header), path)
         return stats | {"path": path}
 
